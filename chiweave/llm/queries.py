@@ -7,9 +7,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch
+from .mixing import mix
 from .packing import pack
+from .quality import quality_rules
 from .token_files import read_places, write_token_files
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,10 +26,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), BPE, keep_ids=False)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "token-files")
     return read_places(write_token_files(_read(spark, sf_dir, "documents"), uri, BPE), uri)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op8_entropy_mixing, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
