@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch
+from .fingerprints import fingerprints
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
+from .sharding import shard
 from .token_files import read_places, write_token_files
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +24,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), BPE, keep_ids=False)
 
@@ -36,10 +42,15 @@ def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
 
 
+def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "token-files")
     return read_places(write_token_files(_read(spark, sf_dir, "documents"), uri, BPE), uri)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op8_entropy_mixing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
