@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import quality_rules
 from .sharding import shard
 from .token_files import read_places, write_token_files
+from .toxicity import toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,6 +38,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
@@ -52,5 +58,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_places(write_token_files(_read(spark, sf_dir, "documents"), uri, BPE), uri)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
