@@ -20,7 +20,7 @@ import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, blocks
+from .tokens import blocks, shared_encoder
 
 MANIFEST = "part long, name string, n_docs long, n_tokens long"
 PLACES = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -149,7 +149,7 @@ def write_token_files(df: DataFrame, uri: str, tokenizer: str, *, end_id: int =
             ids, texts = frame["doc_id"], frame["text"].tolist()
             ids = [None if pd.isna(i) else int(i) for i in ids]
             if writer is None and ids:
-                encode, writer = Encoder(tokenizer, dtype), _Writer(uri, name, length, dtype, rows)
+                encode, writer = shared_encoder(tokenizer, dtype), _Writer(uri, name, length, dtype, rows)
             for a, b in blocks(texts):
                 for doc_id, x in zip(ids[a:b], encode([t or "" for t in texts[a:b]])):
                     writer.add(doc_id, x + end)

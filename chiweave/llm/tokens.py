@@ -1,24 +1,26 @@
 """Encoding with the tokenizers library, one word at a time.
 
 A byte-level pre-tokenizer never joins two words across a single space, so the ids
-of a text are those of its first word followed by those of each " word". Each
-worker keeps the ids of words it has met; anything irregular at a word's edge
-(two spaces, other white space, a special token) sends the whole text to the library.
+of a text are those of its first word followed by those of each " word". Each worker
+keeps the ids of words it has met; new words of a batch go to the library as one text,
+whose ids are cut where a token begins with the space. Anything irregular at a word's
+edge (two spaces, other white space, a special token) sends the whole text to the library.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Sequence
-from itertools import filterfalse
+from functools import lru_cache
 
 import numpy as np
 
 
 class Encoder:
     """Texts to ids, as bytes of little-endian ``dtype``; equal to the library's
-    ``encode(text, add_special_tokens=False).ids``. The cache is emptied when it
-    holds ``max_words``, so memory is bounded."""
+    ``encode(text, add_special_tokens=False).ids``. Words not met among the last
+    ``max_words`` new ones are forgotten, so memory is bounded."""
 
     def __init__(self, path: str, dtype: str = "<u4", max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -26,47 +28,82 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.dtype, self.max_words = np.dtype(dtype), max_words
-        self.by_word = self.lib.pre_tokenizer is not None and "ByteLevel" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
+        self.by_word = "ByteLevel(add_prefix_space=False" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        vocabulary = self.lib.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with the space
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
 
     def _pack(self, encodings) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encodings]
-
-    def _learn(self, store: dict[str, bytes], lead: str, missing: list[str]) -> None:
-        store.update(zip(missing, self._pack(self.lib.encode_batch_fast([lead + w for w in missing], add_special_tokens=False))))
+        return [array(self.code, e.ids).tobytes() for e in encodings]
 
     def _regular(self, word: str) -> bool:
-        return bool(word) and word[0] > " " and word[-1] > " " and not word[0].isspace() and not word[-1].isspace() and not any(s in word for s in self.special)
+        if not word:
+            return False
+        a, z = word[0], word[-1]
+        return a > " " and z > " " and not a.isspace() and not z.isspace() and not ("<" in word and any(s in word for s in self.special))
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of " word" for each of the new words."""
+        if not new:
+            return {}
+        ids = np.array(self.lib.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(new):  # never seen; then one by one
+            return dict(zip(new, self._pack(self.lib.encode_batch_fast([" " + w for w in new], add_special_tokens=False))))
+        flat, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        ends = (np.append(at[1:], len(ids)) * k).tolist()
+        return {w: flat[a:z] for w, a, z in zip(new, (at * k).tolist(), ends)}
+
+    def _known(self, words: set[str]) -> dict[str, bytes]:
+        young, old, found, new = self.young, self.old, {}, []
+        for w in words:
+            x = young.get(w)
+            if x is None:
+                x = old.get(w)
+                if x is None:
+                    if self._regular(w):
+                        new.append(w)
+                    continue
+                young[w] = x
+            found[w] = x
+        learnt = self._learn(new)
+        young.update(learnt)
+        found.update(learnt)
+        if len(young) > self.max_words:
+            self.old, self.young = young, {}
+        return found
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         if not self.by_word:
             return self._pack(self.lib.encode_batch_fast(list(texts), add_special_tokens=False))
-        if len(self.later) > self.max_words:
-            self.later.clear()
-        if len(self.first) > self.max_words:
-            self.first.clear()
-        split = [t.split(" ") for t in texts]
-        heads, tails = set(), set()
+        split, met = [t.split(" ") for t in texts], set()
         for parts in split:
-            head = parts[0]
-            if head not in self.first:
-                heads.add(head)
-            tails.update(filterfalse(self.later.__contains__, parts))
-        self._learn(self.first, "", [w for w in heads if self._regular(w)])
-        self._learn(self.later, " ", [w for w in tails if self._regular(w)])
+            met.update(parts)
+        get = self._known(met).__getitem__
+        heads = [p[0] for p in split]
+        firsts = dict(zip(heads, self._pack(self.lib.encode_batch_fast(heads, add_special_tokens=False))))
         out: list[bytes] = []
-        get = self.later.__getitem__
         for text, parts in zip(texts, split):
             try:
-                out.append(self.first[parts[0]] + b"".join(map(get, parts[1:])))
+                if not self._regular(parts[0]):
+                    raise KeyError
+                out.append(firsts[parts[0]] + b"".join(map(get, parts[1:])))
             except KeyError:
                 out += self._pack([self.lib.encode(text, add_special_tokens=False)]) if text else [b""]
         return out
 
 
-def blocks(texts: Sequence[str | None], chars: int = 500_000):
+@lru_cache(maxsize=4)
+def shared_encoder(path: str, dtype: str = "<u4") -> Encoder:
+    """One encoder a worker process, so that its words outlive a task."""
+    return Encoder(path, dtype)
+
+
+def blocks(texts: Sequence[str | None], chars: int = 1_000_000):
     """(first, end) of runs of texts of about ``chars`` characters together."""
     begin = held = 0
     for i, t in enumerate(texts):
