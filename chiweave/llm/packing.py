@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Encoder, blocks
+from .tokens import blocks, shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"
 
@@ -69,7 +69,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encode, end = TaskContext.get().partitionId(), Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, encode, end = TaskContext.get().partitionId(), shared_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for frame in frames:
             ids, texts = [None if pd.isna(i) else int(i) for i in frame["doc_id"]], frame["text"].tolist()
@@ -120,7 +120,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, k
             yield frame.drop(columns="rank")
 
     cols = ["doc_id", "piece", "start", "length", *(["ids"] if keep_ids else []), "ids_crc32"]
-    ranked = kept.withColumn("ids_crc32", F.crc32("ids")).select(*cols, "part", "local_rank").join(before, ["part", "length"])
+    ranked = kept.withColumn("ids_crc32", F.crc32("ids")).select(*cols, "part", "local_rank").join(before.hint("merge"), ["part", "length"])
     ranked = ranked.select(*cols, (F.col("before") + F.col("local_rank")).alias("rank"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*cols).schema)
     return ranked.mapInPandas(place, f"{types}, sequence_id long, offset long")
