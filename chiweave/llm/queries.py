@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .fingerprints import fingerprints
 from .mixing import mix
+from .near_duplicates import ngram_join
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard
@@ -25,6 +26,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.documents.drop("key")
+
+
 def op2_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -58,5 +64,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_places(write_token_files(_read(spark, sf_dir, "documents"), uri, BPE), uri)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
