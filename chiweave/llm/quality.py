@@ -179,17 +179,36 @@ def emit(rules: Sequence[Rule]) -> Column:
     return out
 
 
+def _rules_from(stats: DataFrame, labels: DataFrame) -> list[Rule]:
+    bad = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    return learn_decision_list(stats.filter(~base_failed()).join(bad, "doc_id"))
+
+
+def _with_verdict(stats: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", emit(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
 def quality_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict for every row of ``df``: doc_id, the statistics,
     base_failed, rule (0: none rejects) and kept. ``labels``: doc_id, quality (1 good,
     0 bad); the list learns from every labelled row that passes the base rules.
 
-    A null or empty text has zero counts and fails the base; a null doc_id is kept and
-    unlabelled; a doc_id labelled twice counts by its lowest label; repeated rows give
-    repeated results; empty tables give an empty result or no rules; other columns are
-    not read.
+    A null or empty text has zero counts and fails the base; a null doc_id is judged but
+    never labelled; a doc_id labelled twice counts by its lowest label; repeated rows
+    give repeated results; empty tables give an empty result or no rules; other columns
+    are not read.
     """
     stats, _ = table(text_statistics(df.select("doc_id", "text")).drop("text"), "statistics")
-    bad = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
-    rules = learn_decision_list(stats.filter(~base_failed()).join(bad, "doc_id"))
-    return stats.withColumn("base_failed", base_failed()).withColumn("rule", emit(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return _with_verdict(stats, _rules_from(stats, labels))
+
+
+def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, unchanged. The statistics are
+    computed again where the rows are, which moves no text."""
+    stats, path = table(text_statistics(df.select("doc_id", "text")).drop("text"), "statistics")
+    rules = _rules_from(stats, labels)
+    discard(df.sparkSession, path)
+    full = text_statistics(df.select("text", F.struct(*df.columns).alias("row"))).drop("text")
+    # A generator is a barrier: a filter pushed below it would compute everything anew for each use.
+    once = full.select("row", F.explode(F.array(F.struct(*(c for c in full.columns if c != "row")))).alias("s")).select("row", "s.*")
+    return _with_verdict(once, rules).filter("kept").select("row.*")

@@ -1,5 +1,61 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences, in five stages. Each stage's result
+is written and read again before the next one works on all of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chiweave.llm.common import table
+from chiweave.llm.mixing import mix
+from chiweave.llm.near_duplicates import one_of_each
+from chiweave.llm.packing import pack
+from chiweave.llm.quality import keep_good
+from chiweave.llm.queries import BPE
+from chiweave.llm.toxicity import toxicity
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return keep_good(docs, _labels(spark, sf_dir))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity(rows, _labels(spark, sf_dir)).filter("predicted = 0").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it, or not at all."""
+    rows = mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")))
+    return rows.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return pack(docs, BPE, keep_ids=False)
+
+
+STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("best-fit packing", packing)]
+
+#: No SQL can express the learned and iterative stages; tests hold them to brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs, _ = table(docs, "stage-" + name.replace(" ", "-"))
+    return docs
