@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 from .fingerprints import fingerprints
+from .html_extraction import extract
+from .language_id import language_id
 from .mixing import mix
 from .near_duplicates import ngram_join
 from .packing import pack
@@ -35,6 +37,10 @@ def op2_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), BPE, keep_ids=False)
 
@@ -49,6 +55,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
@@ -64,5 +74,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_places(write_token_files(_read(spark, sf_dir, "documents"), uri, BPE), uri)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quartile_fingerprints, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quartile_fingerprints, op3_html_main_text, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_language_id, op8_entropy_mixing, op9_histogram_sharding, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
