@@ -30,63 +30,63 @@ def _below(column: Column, bounds: list[int]) -> Column:
     return F.size(F.filter(xs, lambda b: b <= column))
 
 
-def _refine(rows: DataFrame, key: str, wanted: list[tuple[int, int, int, int, int]], probes: int, tolerance: int, weight: str) -> dict[int, tuple[int, int, int]]:
-    """For each wanted (splitter, target, low, weight below low, high): the largest
-    probed boundary b with weight-below(b) <= target + tolerance, as
-    (b, weight below b, weight below b + 1). Rows below b lie left of the splitter."""
+def _refine(rows: DataFrame, key: str, wanted: list[tuple[int, int, int, int, int]], probes: int, tolerance: int, whole: int) -> dict[int, tuple[int, bool]]:
+    """For each wanted (splitter, target, low, bytes below low, high): the boundary b whose
+    bytes below come within ``tolerance`` of the target, or nearest to it where one row
+    decides; with True where rows of one key straddle the target and cutting them apart
+    is worth it, as neither edge of theirs is within ``whole``."""
     state = {s: (low, high, base, target) for s, target, low, base, high in wanted}
-    found: dict[int, tuple[int, int, int]] = {}
+    found: dict[int, tuple[int, bool]] = {}
     while state:
         spans = sorted({(low, high) for low, high, _, _ in state.values()})
-        lows = [a for a, _ in spans]
         step = {a: max(1, -(-(b - a) // probes)) for a, b in spans}
-        at = _below(F.col(key), lows)
-        low = F.element_at(F.array(*(F.lit(a) for a in lows)), at)
-        high = F.element_at(F.array(*(F.lit(b) for _, b in spans)), at)
-        width = F.element_at(F.array(*(F.lit(step[a]) for a in lows)), at)
-        inside = rows.filter(at > 0).select(low.alias("low"), high.alias("high"), width.alias("width"), key, weight).filter(F.col(key) < F.col("high"))
-        cell = F.expr(f"CAST((CAST({key} AS DECIMAL(20,0)) - CAST(low AS DECIMAL(20,0))) div CAST(width AS DECIMAL(20,0)) AS INT)")
-        counts = {(r["low"], r["cell"]): r["w"] for r in inside.groupBy("low", cell.alias("cell")).agg(F.sum(weight).alias("w")).collect()}  # at most probes + 1 an interval
+        long = lambda v: F.lit(v).cast("long")
+        array = F.array(*(F.struct(long(a).alias("low"), long(b).alias("high"), long(step[a]).alias("width")) for a, b in spans))
+        at = _below(F.col(key), [a for a, _ in spans])
+        span = F.when(at > 0, F.element_at(array, F.greatest(at, F.lit(1))))
+        wide = "DECIMAL(20,0)"
+        cell = F.expr(f"CAST((CAST({key} AS {wide}) - CAST(s.low AS {wide})) div CAST(s.width AS {wide}) AS INT)")
+        inside = rows.select(key, "size", span.alias("s")).filter(F.col(key) < F.col("s.high")).select(F.col("s.low").alias("low"), cell.alias("cell"), "size")
+        got = inside.groupBy("low", "cell").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()  # at most probes + 1 an interval
+        counts = {(r["low"], r["cell"]): (r["w"], r["n"]) for r in got}
         for s, (a, b, base, target) in list(state.items()):
-            width_, below, boundary = step[a], base, a
-            for c in range(probes + 1):
-                w = counts.get((a, c), 0)
-                nxt = min(b, a + (c + 1) * width_)
-                if below + w > target or nxt >= b:
-                    break
-                below, boundary = below + w, nxt
-            w = counts.get((a, (boundary - a) // width_), 0)
-            if target - below <= tolerance or width_ == 1:
-                found[s] = (boundary, below, below + w if width_ == 1 else below)
-            elif below + w - target <= tolerance:
-                found[s] = (nxt, below + w, below + w)
+            below, c, width = base, 0, step[a]
+            while below + counts.get((a, c), (0, 0))[0] <= target and a + (c + 1) * width < b:
+                below, c = below + counts.get((a, c), (0, 0))[0], c + 1
+            w, n = counts.get((a, c), (0, 0))
+            start, end = a + c * width, min(b, a + (c + 1) * width)
+            left, right = target - below, below + w - target
+            if left <= tolerance or n <= 1 and left <= right:
+                found[s] = (start, False)
+            elif right <= tolerance or n <= 1:
+                found[s] = (end, False)
+            elif width == 1:
+                found[s] = (start if left <= right else end, False) if min(left, right) <= whole else (start, True)
             else:
-                state[s] = (boundary, nxt, below, target)
+                state[s] = (start, end, below, target)
                 continue
             del state[s]
     return found
 
 
-def splitters(keys: DataFrame, n: int, *, probes: int = 64, tolerance: float = 0.002) -> list[Key]:
+def splitters(keys: DataFrame, n: int, *, probes: int = 256, tolerance: float = 0.002, whole: float = 0.02) -> list[Key]:
     """``n - 1`` ascending (hash, doc_id) keys, each the first of its range, that cut
     ``keys`` (hash, doc_id, size) into ranges of near equal bytes. Bytes counted are
-    exact; a splitter stops within ``tolerance`` of a range's bytes or at one key."""
+    exact; a splitter stops within ``tolerance`` of a range's bytes or beside one row, and
+    cuts a group of equal texts only where it would be off by ``whole`` of them otherwise."""
     total = keys.agg(F.sum("size")).collect()[0][0] or 0
     slack = int(total / n * tolerance)
     targets = {s: total * s // n for s in range(1, n)}
-    first = _refine(keys, "hash", [(s, t, LOW, 0, HIGH) for s, t in targets.items()], probes, slack, "size")
-    out: dict[int, Key] = {}
+    first = _refine(keys, "hash", [(s, t, LOW, 0, HIGH) for s, t in targets.items()], probes, slack, int(total / n * whole))
+    out: dict[int, Key] = {s: (h, LOW) for s, (h, tied) in first.items() if not tied}
     heavy: dict[int, list[int]] = {}
-    for s, (h, below, upto) in first.items():
-        if targets[s] - below <= slack or upto == below:
-            out[s] = (h, LOW)
-        elif upto - targets[s] <= slack:
-            out[s] = (h + 1, LOW)
-        else:
+    for s, (h, tied) in first.items():
+        if tied:
             heavy.setdefault(h, []).append(s)
-    for h, group in heavy.items():  # at most one hash value a splitter
-        below = first[group[0]][1]
-        for s, (d, _, _) in _refine(keys.filter(F.col("hash") == h), "doc_id", [(s, targets[s], LOW, below, HIGH) for s in group], probes, slack, "size").items():
+    for h, group in heavy.items():  # large groups of equal texts, at most one a splitter
+        same = keys.filter(F.col("hash") == h)
+        below = keys.filter(F.col("hash") < h).agg(F.sum("size")).collect()[0][0] or 0
+        for s, (d, _) in _refine(same, "doc_id", [(s, targets[s], LOW, below, HIGH) for s in group], probes, slack, int(total / n * whole)).items():
             out[s] = (h, d)
     return [out[s] for s in sorted(out)]
 
