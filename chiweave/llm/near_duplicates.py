@@ -4,8 +4,8 @@ Equal texts are one class. A class's signature is cut into trees of ``depth`` la
 classes that share a prefix of a tree's labels stand together in its trie. The join
 starts with whole prefixes, estimates from the similarities it meets which share of all
 links so long a prefix finds, and shortens the prefix until that share reaches the
-target recall. Candidates are then verified on exact shingle sets. Links between
-different texts are kept as pairs of classes; connected classes form a group.
+target recall. Candidates are then verified on exact shingle sets, group by group;
+connected classes form a larger group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import discard, table
 
 TREES, DEPTH = 16, 12
 #: A trie node with more classes is compared block by block, each pair of blocks a task's work.
-BLOCK = 512
+BLOCK = 256
 #: Below this many rows (of 16 to 40 bytes) a side is broadcast; above, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20)
@@ -99,49 +99,124 @@ def _signed(df: DataFrame, n: int) -> DataFrame:
     return df.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, sig binary")
 
 
-def _pairs(classes: DataFrame, depth: int, floor: float) -> DataFrame:
-    """(a, b, alike): pairs of classes that share ``depth`` labels in some tree and
-    whose signatures agree in ``floor`` or more; each pair once, from its first tree."""
+MEMBERS = "node long, tree int, key binary, own int, lo int, hi int, alike double, n long"
+PLACE = ["node", "tree", "key", "own", "lo", "hi"]
+
+
+def _nodes(classes: DataFrame, depth: int) -> DataFrame:
+    """The forest's nodes of two classes or more at ``depth``, a row per class and block
+    pair: (node, tree, key, own, lo, hi). A small node is one block, paired with itself."""
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * 2 * DEPTH + 1, F.lit(2 * depth)))))
     nodes = classes.select("key", tree.alias("tree", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = nodes.join(sizes, "node").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("key", "node"), F.col("nb")).cast("int"))
+    rows = nodes.join(sizes, "node").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key", "node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("node", "tree", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = rows.join(classes.select("key", "sig"), "key")
-
-    def compare(group: list[tuple]) -> Iterator[tuple[bytes, bytes, float]]:
-        tree, lo, hi = group[0][1], group[0][4], group[0][5]
-        s = np.frombuffer(b"".join(bytes(g[6]) for g in group), "<u2").reshape(len(group), TREES, DEPTH)
-        own = np.array([g[3] for g in group])
-        for i in range(len(group) - 1):
-            eq = s[i + 1 :] == s[i]
-            alike = eq.mean((1, 2))
-            first = eq[:, :, :depth].all(2)
-            ok = (alike >= floor) & first[:, tree] & ~first[:, :tree].any(1)
-            if lo != hi:
-                ok &= own[i + 1 :] != own[i]
-            for j in np.flatnonzero(ok):
-                a, b = bytes(group[i][2]), bytes(group[i + 1 + j][2])
-                if a != b:
-                    yield (*sorted((a, b)), float(alike[j]))
+    return rows.select("node", "tree", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _groups(rows: DataFrame, payload: str, work, schema: str) -> DataFrame:
+    """Runs ``work`` over the members of each node's pair of blocks, standing together
+    after one sort; ``work.end`` may add rows when a partition is through."""
+    columns = [*PLACE, payload] if payload == "sig" else [*PLACE, "sig", payload]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in schema.split(", ")]
         held: list[tuple] = []
+        state: dict = {}
         for frame in frames:
-            out = []
-            for row in zip(*(frame[c] for c in ("node", "tree", "key", "own", "lo", "hi", "sig"))):
+            out: list[tuple] = []
+            for row in zip(*(frame[c] for c in columns)):
                 if held and (row[0], row[4], row[5]) != (held[0][0], held[0][4], held[0][5]):
-                    out += compare(held)
+                    out += work(held, state)
                     held = []
                 held.append(row)
-            yield pd.DataFrame(out, columns=["a", "b", "alike"])
+            yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame(list(compare(held)), columns=["a", "b", "alike"])
-
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "node", "lo", "hi").sortWithinPartitions("node", "lo", "hi").mapInPandas(walk, "a binary, b binary, alike double")
+            yield pd.DataFrame(work(held, state), columns=names)
+        if state:
+            yield pd.DataFrame([(None,) * 6 + x for x in state.items()], columns=names).astype({"node": "Int64", "tree": "Int64", "own": "Int64", "lo": "Int64", "hi": "Int64"})
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(n, "node", "lo", "hi").sortWithinPartitions("node", "lo", "hi").mapInPandas(walk, schema)
+
+
+def _first_met(group: list[tuple], depth: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """For every two members, whether this node is the first to pair them with
+    signatures that agree in ``floor`` or more, above the diagonal; and their agreement."""
+    tree, lo, hi = int(group[0][1]), group[0][4], group[0][5]
+    s = np.frombuffer(b"".join(bytes(g[6]) for g in group), "<u2").reshape(len(group), TREES, DEPTH)
+    own, keys = np.array([g[3] for g in group]), [bytes(g[2]) for g in group]
+    ok, alike = np.zeros((len(group), len(group)), bool), np.zeros((len(group), len(group)))
+    for i in range(len(group) - 1):
+        eq = s[i + 1 :] == s[i]
+        alike[i, i + 1 :] = eq.mean((1, 2))
+        shared = eq[:, :, :depth].all(2)
+        ok[i, i + 1 :] = (alike[i, i + 1 :] >= floor) & shared[:, tree] & ~shared[:, :tree].any(1)
+    if lo != hi:
+        ok &= own[:, None] != own[None]
+    if len(set(keys)) < len(keys):
+        ok &= np.array([[a != b for b in keys] for a in keys])
+    return ok, alike
+
+
+def _candidates(classes: DataFrame, depth: int, floor: float) -> DataFrame:
+    """Members of nodes where they meet a candidate for the first time (``MEMBERS``, alike
+    null), and how many pairs agree how much (key null): never a row per pair."""
+
+    def work(group: list[tuple], state: dict) -> list[tuple]:
+        ok, alike = _first_met(group, depth, floor)
+        for x, n in zip(*np.unique(alike[ok], return_counts=True)):
+            state[float(x)] = state.get(float(x), 0) + int(n)
+        return [(*g[:6], None, None) for g, some in zip(group, ok.any(0) | ok.any(1)) if some]
+
+    return _groups(_nodes(classes, depth).join(classes.select("key", "sig"), "key"), "sig", work, MEMBERS)
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    step = 8192
+    for at in range(0, int(column[-1]) + 1, step):
+        a, z = np.searchsorted(column, (at, at + step))
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[a:z], column[a:z] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _verified(members: DataFrame, exact: DataFrame, depth: int, floor: float, threshold: float, pairs: bool) -> DataFrame:
+    """Exact similarities inside each group: (key, root, n_links) of members with links,
+    the root standing for those linked in this group; or the pairs (a, b, similarity)."""
+
+    def links(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        ok, _ = _first_met(group, depth, floor)
+        sets = [np.asarray(g[7], np.int64) for g in group]
+        size = np.array([len(x) for x in sets])
+        both = _shared_counts(sets)
+        similar = both / (size[:, None] + size[None] - both)
+        return ok & (similar >= threshold), similar
+
+    def stars(group: list[tuple], state: dict) -> list[tuple]:
+        ok, _ = links(group)
+        ok = ok | ok.T
+        root = np.arange(len(group))
+        while True:  # the smallest number spreads along links
+            low = np.minimum(root, np.where(ok, root[None], len(group)).min(1))
+            if (low == root).all():
+                break
+            root = low
+        return [(bytes(g[2]), bytes(group[r][2]), int(n)) for g, r, n in zip(group, root, ok.sum(1)) if n]
+
+    def listed(group: list[tuple], state: dict) -> list[tuple]:
+        ok, similar = links(group)
+        return [(*sorted((bytes(group[i][2]), bytes(group[j][2]))), float(similar[i, j])) for i, j in zip(*np.nonzero(ok))]
+
+    rows = members.join(exact, "key")
+    return _groups(rows, "s", listed, "a binary, b binary, similarity double") if pairs else _groups(rows, "s", stars, "key binary, root binary, n_links long")
 
 
 def found_share(s: np.ndarray | float, depth: int) -> np.ndarray | float:
@@ -164,11 +239,11 @@ def _shorten(met: dict[float, int], depth: int, threshold: float, recall: float)
 @dataclass
 class NearDuplicates:
     """``documents``: doc_id, key, class_id, n_copies, n_links, group_id, a row per row
-    of the input. ``links``: a, b (class ids, a < b), similarity. ``depth``: the prefix
-    length the forest settled at."""
+    of the input. ``links``: a, b (class ids, a < b), similarity, a row per link, if they
+    were asked for. ``depth``: the prefix length the forest settled at."""
 
     documents: DataFrame
-    links: DataFrame
+    links: DataFrame | None
     depth: int
 
 
@@ -193,7 +268,7 @@ def _components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9995) -> NearDuplicates:
+def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, links: bool = False) -> NearDuplicates:
     """Links every two different texts of ``df`` (doc_id, text) whose sets of ``n``-word
     runs have a Jaccard similarity of ``threshold`` or more.
 
@@ -202,6 +277,7 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     its connected group. A null text equals an empty one; texts without words link to
     nothing; texts with fewer than ``n`` words are one run; repeated rows are copies; a
     null doc_id sorts first; an empty table gives no row; other columns are not read.
+    Links are counted and chained where their texts meet; only ``links`` lists them.
     """
     spark = df.sparkSession
     signed, _ = table(_signed(df, n), "signatures")
@@ -212,38 +288,41 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     floor = threshold - 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
     depth = DEPTH
     while True:
-        pairs, path = table(_pairs(signing, depth, floor), "candidates")
-        met = {r["alike"]: r["n"] for r in pairs.groupBy("alike").agg(F.count("*").alias("n")).collect()}  # TREES * DEPTH values at most
+        found, path = table(_candidates(signing, depth, floor), "candidates")
+        counts = found.filter("key IS NULL").groupBy("alike").agg(F.sum("n").alias("n"))
+        met = {r["alike"]: r["n"] for r in counts.collect()}  # TREES * DEPTH values at most
         shorter = _shorten(met, depth, threshold, recall)
         if shorter == depth:
             break
         discard(spark, path)
         depth = shorter
+    members = found.filter("key IS NOT NULL").select(*PLACE)
 
     # Exact verification: the shingle sets of candidates only, each from one row.
-    wanted, _ = table(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "rep"), "key"), "wanted")
+    wanted, _ = table(members.select("key").distinct().join(classes.select("key", "rep"), "key"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     keyed = df.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("doc_id", low).alias("rep"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"key": frame["key"], "s": [np.unique(shingles(t, n, _words)).view(np.int64) for t in frame["text"]]})
+            s = [np.unique(shingles(t, n, _words)) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "sig": [signature(x) for x in s], "s": [x.view(np.int64) for x in s]})
 
     chosen = keyed.join(F.broadcast(wanted) if few else wanted, ["key", "rep"], "left_semi")
-    exact, _ = table(chosen.select("key", "text").mapInPandas(sets, "key binary, s array<long>").dropDuplicates(["key"]), "shingles")
-    left, right = exact.select(F.col("key").alias("a"), F.col("s").alias("sa")), exact.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    judged = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
-    links, _ = table(judged.filter(F.col("similarity") >= threshold), "links")
-
-    members = _components(links).join(classes.select("key", "rep"), "key", "right").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    group = members.groupBy("root").agg(F.min("rep").alias("group_id"))
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    facts = members.join(group, "root").join(degree, "key", "left").join(classes.select("key", "n_copies"), "key")
+    exact, _ = table(chosen.select("key", "text").mapInPandas(sets, "key binary, sig binary, s array<long>").dropDuplicates(["key"]), "shingles")
+    linked, _ = table(_verified(members, exact, depth, floor, threshold, False), "linked")
+
+    edges = linked.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))
+    grouped = _components(edges).join(classes.select("key", "rep"), "key", "right").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    group = grouped.groupBy("root").agg(F.min("rep").alias("group_id"))
+    degree = linked.groupBy("key").agg(F.sum("n_links").alias("n_links"))
+    facts = grouped.join(group, "root").join(degree, "key", "left").join(classes.select("key", "n_copies"), "key")
     facts, _ = table(facts.select("key", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id"), "facts")
     documents = rows.select("doc_id", "key").join(facts, "key").select("doc_id", "key", "class_id", "n_copies", "n_links", "group_id")
+    if not links:
+        return NearDuplicates(documents, None, depth)
     ids = classes.select("key", "rep")
-    named = links.join(ids.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b")
+    named = _verified(members, exact, depth, floor, threshold, True).join(ids.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b")
     return NearDuplicates(documents, named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"), depth)
 
 
