@@ -63,10 +63,10 @@ def _(t: Tables) -> DataFrame:
     return R.rdf_long(R.rdf(_rdf_lines(t)))
 
 
-@query("s8_l5_msd_last_line", "SELECT CAST(l_orderkey AS VARCHAR) AS file, max(l_linenumber)::BIGINT AS timestep, arg_max(l_discount, n) AS msd_all, arg_max(l_tax, n) AS msd_ag, greatest(arg_max(l_discount, n), arg_max(l_tax, n), 0.03e0) > 0.05e0 AS drifting FROM (SELECT *, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS n FROM lineitem) GROUP BY l_orderkey")
+@query("s8_l5_msd_last_line", "SELECT CAST(l_orderkey AS VARCHAR) AS file, max(l_linenumber)::BIGINT AS timestep, arg_max(l_discount, n) AS msd_all, arg_max(l_tax, n) AS msd_ag, greatest(arg_max(l_discount, n), arg_max(l_tax, n), 0.03e0) > 0.05e0 AS drifting FROM (SELECT *, l_linenumber * 1000000000000000 + l_partkey * 100000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS n FROM lineitem) GROUP BY l_orderkey")
 def _(t: Tables) -> DataFrame:
     line = F.concat_ws(" ", _s("l_linenumber"), _s("l_discount"), _s("l_tax"), L("0.03"))
-    number = F.expr("l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey")
+    number = F.expr("l_linenumber * 1000000000000000 + l_partkey * 100000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT)")
     rows = t.lineitem.select(_s("l_orderkey").alias("file"), number.alias("line_no"), line.alias("line"))
     notes = t.orders.select(_s("o_orderkey").alias("file"), L(1 << 60).alias("line_no"), L("# end").alias("line"))
     return R.msd(rows.unionByName(notes), 0.05).select("file", "timestep", "msd_all", "msd_ag", "drifting")
