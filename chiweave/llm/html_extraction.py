@@ -194,6 +194,10 @@ def main_texts(pages: Sequence[str | None], *, least: int = 4, min_pages: int =
             tokens = text.split()
             own, at = cover[at : at + len(tokens)], at + len(tokens) + 1
             if role == "body" and own.sum() < max_cover * len(tokens):
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
+                for a, z in edges.reshape(-1, 2):
+                    if z - a < least:  # the end of a run that lies in the next block
+                        own[a:z] = False
                 kept.append(" ".join(w for w, c in zip(tokens, own) if not c))
         out.append(" ".join(k for k in kept if k))
     return out

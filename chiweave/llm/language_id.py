@@ -99,7 +99,7 @@ def language_id(pages: DataFrame, documents: DataFrame) -> DataFrame:
                 blocks = page_blocks(html)
                 main = " ".join(t for r, t in blocks if r != "chrome")
                 x = triplets(main) if main else np.zeros(0, np.uint32)
-                p.append((_softmax(table_[x].sum(0, dtype=np.float64) / OVERLAP) if len(x) else np.full(len(langs), 1 / max(1, len(langs)))).tolist())
+                p.append((_softmax(table_[x].sum(0, dtype=np.float64) / OVERLAP) if len(x) and langs else np.full(len(langs), 1 / max(1, len(langs)))).tolist())
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "declared": declared, "suffix": suffix, "p": p})
 
     seen, _ = table(pages.select("page_id", "url", "html").mapInPandas(score, "page_id long, url string, declared string, suffix string, p array<double>"), "page-scores")
