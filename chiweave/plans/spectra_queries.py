@@ -231,3 +231,16 @@ def _(t: Tables) -> DataFrame:
     a = F.slice("embedding", 1, 3)
     e = t.embeddings.select("vec_id", F.concat(a, F.reverse(a)).alias("e"))
     return e.select("vec_id", F.get("e", F.lit(0)).cast("double").alias("first"), F.get("e", F.lit(3)).cast("double").alias("fourth"), F.size("e").alias("n"))
+
+
+@query(
+    "e7_path_sum",
+    """WITH p AS (SELECT label, vec_id, 2.0e0 AS deg, 2.0e0 + (vec_id % 10) * 0.1e0 AS reff, CAST(i AS INTEGER) AS i, CAST(i AS DOUBLE) * 0.05e0 AS k, CAST(embedding[i + 1] AS DOUBLE) AS e FROM embeddings, (SELECT unnest(range(64)) AS i)),
+      g AS (SELECT *, CAST(i // 8 AS INTEGER) AS k_idx FROM p WHERE i % 8 = 0)
+      SELECT CAST(label AS VARCHAR) AS dir, CAST(k_idx AS INTEGER) AS k_idx, round(sum(CASE WHEN k > 0 THEN deg * abs(e) * 0.9e0 / (k * reff * reff) * exp(-2 * reff / (10.0e0 + abs(e))) * sin(2 * k * reff + e + e * 2) ELSE 0.0e0 END), 6) + 0.0 AS chi FROM g GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    s = t.spectra().select(F.col("traj_id").cast("string").alias("dir"), F.col("frame_idx").alias("path_id"), "k", F.col("chi").alias("e"))
+    rows = s.select("dir", "path_id", "k", F.col("e").alias("real2phc"), F.abs("e").alias("mag"), (F.col("e") * 2).alias("phase"), F.lit(0.9).alias("red"), (10.0 + F.abs("e")).alias("lambda"))
+    paths = s.select("dir", "path_id").distinct().withColumn("deg", F.lit(2.0)).withColumn("reff", 2.0 + (F.col("path_id") % 10) * F.lit(0.1))
+    return X.path_sum(rows, paths, [i * 0.05 for i in range(0, 64, 8)]).select("dir", "k_idx", r6("chi").alias("chi"))

@@ -146,3 +146,19 @@ def _(t: Tables) -> DataFrame:
 @query("s16_lattice_cluster")
 def _(t: Tables) -> DataFrame:
     return A.lattice_cluster(t.spark, "fcc", 4.08, 3, 8.0)
+
+
+@query("k8_xyz_text", f"WITH {ATOMS} SELECT s, count(*) || chr(10) || chr(10) || string_agg('Au ' || printf('%.6f %.6f %.6f', x, y, z), chr(10) ORDER BY atom_id) AS text FROM atoms GROUP BY s")
+def _(t: Tables) -> DataFrame:
+    from ..sources.structures import xyz_text
+
+    return xyz_text(t.atoms().withColumn("symbol", F.lit("Au")), ["s"])
+
+
+@query("e2_e4_solver_inputs")
+def _(t: Tables) -> DataFrame:
+    from ..config import SpectrumConfig
+    from .inputs import solver_inputs
+
+    named = t.atoms().withColumn("symbol", A.species_of(F.col("type"), ("Fe", "O")))
+    return solver_inputs(named, "Fe", SpectrumConfig(radius=0.4), ["s"])
