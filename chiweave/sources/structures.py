@@ -59,7 +59,8 @@ def poscar_text(atoms: DataFrame, by: Sequence[str], cell: Sequence[float]) -> D
     body = atoms.groupBy(*by).agg(_body(_numbers("x", "y", "z"), by_symbol=True).alias("body"))
     a, b, c = (float(v) for v in cell)
     box = f"structure\n1.0\n{a} 0.0 0.0\n0.0 {b} 0.0\n0.0 0.0 {c}"
-    names, ns = (F.concat_ws(" ", F.transform("_kinds", lambda r, k=k: r[k].cast("string"))) for k in ("symbol", "n"))
+    listed = lambda field: F.concat_ws(" ", F.transform("_kinds", lambda r: r[field].cast("string")))
+    names, ns = listed("symbol"), listed("n")
     return counts.join(body, list(by)).select(*by, F.concat_ws("\n", F.lit(box), names, ns, F.lit("Cartesian"), "body").alias("text"))
 
 
