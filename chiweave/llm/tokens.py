@@ -1,10 +1,12 @@
 """Encoding with the tokenizers library, one word at a time.
 
-A byte-level pre-tokenizer never joins two words across a single space, so the ids
-of a text are those of its first word followed by those of each " word". Each worker
-keeps the ids of words it has met; new words of a batch go to the library as one text,
-whose ids are cut where a token begins with the space. Anything irregular at a word's
-edge (two spaces, other white space, a special token) sends the whole text to the library.
+A byte-level pre-tokenizer never joins two words across a single space, and takes a
+comma or full stop after a letter at a word's end for a piece of its own. So the ids of a
+text are those of its first word followed by those of each " word". The words of many
+texts are found, hashed and told apart in numpy; each worker keeps the ids of words it
+has met, by hash; new words go to the library as one text, whose ids are cut where a
+token begins with the space. Anything irregular at a word's edge (two spaces, other white
+space, a special token) sends the whole text to the library.
 """
 
 from __future__ import annotations
@@ -16,29 +18,53 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Bytes hashed at a time; longer texts go to the library whole.
+MOST = 4 << 20
+_rng = np.random.default_rng(11)
+_VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C17 | 3
+_FIRST = np.uint64(0x5851F42D4C957F2D)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARKS = b",."
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2^64, and of its inverse."""
+    out = []
+    for base in (_BASE % (1 << 64), pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
 
 class Encoder:
     """Texts to ids, as bytes of little-endian ``dtype``; equal to the library's
-    ``encode(text, add_special_tokens=False).ids``. Words not met among the last
-    ``max_words`` new ones are forgotten, so memory is bounded."""
+    ``encode(text, add_special_tokens=False).ids``, but for a 64-bit collision of two
+    words. Words not met among the last ``max_words`` new ones are forgotten."""
 
-    def __init__(self, path: str, dtype: str = "<u4", max_words: int = 400_000):
+    def __init__(self, path: str, dtype: str = "<u4", max_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        if hasattr(self.lib.model, "_resize_cache"):
+            self.lib.model._resize_cache(0)  # ours keeps every word; the library's only costs
         self.dtype, self.max_words = np.dtype(dtype), max_words
         self.by_word = "ByteLevel(add_prefix_space=False" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         vocabulary = self.lib.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with the space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.marks = [self._alone(chr(m)) for m in _MARKS]
 
-    def _pack(self, encodings) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in encodings]
+    def _alone(self, text: str) -> bytes:
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _regular(self, word: str) -> bool:
         if not word:
@@ -46,55 +72,116 @@ class Encoder:
         a, z = word[0], word[-1]
         return a > " " and z > " " and not a.isspace() and not z.isspace() and not ("<" in word and any(s in word for s in self.special))
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of " word" for each of the new words."""
-        if not new:
-            return {}
-        ids = np.array(self.lib.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+    def _spaced(self, words: list[bytes]) -> list[bytes]:
+        """The ids of " word" for each of the regular words."""
+        if not words:
+            return []
+        text = (b" " + b" ".join(words)).decode("utf-8", "surrogatepass")
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(new):  # never seen; then one by one
-            return dict(zip(new, self._pack(self.lib.encode_batch_fast([" " + w for w in new], add_special_tokens=False))))
+        if len(at) != len(words):  # never seen; then one by one
+            return [self._alone(" " + w.decode("utf-8", "surrogatepass")) for w in words]
         flat, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        ends = (np.append(at[1:], len(ids)) * k).tolist()
-        return {w: flat[a:z] for w, a, z in zip(new, (at * k).tolist(), ends)}
-
-    def _known(self, words: set[str]) -> dict[str, bytes]:
-        young, old, found, new = self.young, self.old, {}, []
-        for w in words:
-            x = young.get(w)
-            if x is None:
-                x = old.get(w)
+        at *= k
+        ends = np.append(at[1:], len(flat)).tolist()
+        return [flat[a:z] for a, z in zip(at.tolist(), ends)]
+
+    def _ids(self, keys: list[int], word, plain: list[bool], first: list[bool]) -> list[bytes]:
+        """The ids of the words with these hashes, b"" for irregular ones. ``word(i)``
+        gives the i-th; ``plain`` tells those that are regular for sure, ``first`` those
+        that no space precedes."""
+        young = self.young
+        found = list(map(young.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new: list[int] = []
+            for i in missing:
+                x = self.old.get(keys[i])
                 if x is None:
-                    if self._regular(w):
-                        new.append(w)
-                    continue
-                young[w] = x
-            found[w] = x
-        learnt = self._learn(new)
-        young.update(learnt)
-        found.update(learnt)
-        if len(young) > self.max_words:
-            self.old, self.young = young, {}
+                    new.append(i)
+                else:
+                    found[i] = young[keys[i]] = x
+            spaced, texts = [], []
+            for i in new:
+                w = word(i)
+                if not first[i] and (plain[i] or self._regular(w.decode("utf-8", "surrogatepass"))):
+                    spaced.append(i)
+                    texts.append(w)
+                else:
+                    t = w.decode("utf-8", "surrogatepass")
+                    found[i] = self._alone(t) if first[i] and self._regular(t) else b""
+            for i, x in zip(spaced, self._spaced(texts)):
+                found[i] = x
+            young.update((keys[i], found[i]) for i in new)
+            if len(young) > self.max_words:
+                self.old, self.young = young, {}
         return found
 
+    def _block(self, raw: list[bytes], texts: list[str]) -> list[bytes]:
+        buf = b" ".join(raw) + b" "
+        x = np.frombuffer(buf, np.uint8)
+        power, inverse = _powers(MOST + 1)
+        ends = np.flatnonzero(x == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        text_at = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        first_word = np.searchsorted(starts, text_at)  # of each text, and one past all
+        is_first = np.zeros(len(starts), bool)
+        is_first[first_word[:-1]] = True
+        # A comma or full stop that ends a word after an ASCII letter is taken off.
+        long = ends - starts >= 2
+        last, before = x[np.maximum(ends - 1, 0)], x[np.maximum(ends - 2, 0)]
+        mark = np.where(long & _LETTER[before] & ~is_first, np.where(last == _MARKS[0], 1, np.where(last == _MARKS[1], 2, 0)), 0)
+        cut = ends - (mark > 0)
+        sums, carry = np.zeros(len(x) + 1, np.uint64), np.uint64(0)
+        for at in range(0, len(x), 1 << 15):  # what the processor's cache holds
+            v = _VALUE[x[at : at + (1 << 15)]]
+            v *= power[at : at + len(v)]
+            v[0] += carry
+            carry = np.cumsum(v, out=sums[at + 1 : at + 1 + len(v)])[-1]
+        h = (sums[cut] - sums[starts]) * inverse[starts] + (cut - starts).astype(np.uint64)
+        h[is_first] ^= _FIRST
+        keys, one, which = np.unique(h, return_index=True, return_inverse=True)
+        edge_a, edge_z = x[starts[one]], x[np.maximum(cut[one] - 1, 0)]
+        plain = (edge_a > 32) & (edge_a < 127) & (edge_z > 32) & (edge_z < 127) & (cut[one] > starts[one])
+        if any(t.encode() in buf for t in self.special):
+            plain[:] = False
+        a, z = starts[one].tolist(), cut[one].tolist()
+        ids = self._ids(keys.tolist(), lambda i: buf[a[i] : z[i]], plain.tolist(), is_first[one].tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        broken = np.logical_or.reduceat((size == 0)[which], first_word[:-1])
+        # Words and the marks after them in order: units, each a slice of the flat ids.
+        units = np.repeat(which, 1 + (mark > 0))
+        at_word = np.arange(len(which)) + np.cumsum(mark > 0) - (mark > 0)
+        marked = np.flatnonzero(mark)
+        units[at_word[marked] + 1] = len(ids) + mark[marked] - 1
+        size = np.append(size, [len(m) // self.dtype.itemsize for m in self.marks])
+        flat = np.frombuffer(b"".join(ids) + b"".join(self.marks), self.dtype)
+        start = np.cumsum(size) - size
+        n = size[units]
+        end = np.cumsum(n)
+        got = flat[np.repeat(start[units] - (end - n), n) + np.arange(int(end[-1]))]
+        begin = np.append((end - n)[at_word[first_word[:-1]]], end[-1]).tolist()
+        return [self._alone(t) if bad and t else got[p:q].tobytes() for t, bad, p, q in zip(texts, broken.tolist(), begin, begin[1:])]
+
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._pack(self.lib.encode_batch_fast(list(texts), add_special_tokens=False))
-        split, met = [t.split(" ") for t in texts], set()
-        for parts in split:
-            met.update(parts)
-        get = self._known(met).__getitem__
-        heads = [p[0] for p in split]
-        firsts = dict(zip(heads, self._pack(self.lib.encode_batch_fast(heads, add_special_tokens=False))))
         out: list[bytes] = []
-        for text, parts in zip(texts, split):
-            try:
-                if not self._regular(parts[0]):
-                    raise KeyError
-                out.append(firsts[parts[0]] + b"".join(map(get, parts[1:])))
-            except KeyError:
-                out += self._pack([self.lib.encode(text, add_special_tokens=False)]) if text else [b""]
-        return out
+        raw: list[bytes] = []
+        held: list[str] = []
+        total = 0
+        for t in texts:
+            r = t.encode("utf-8", "surrogatepass")
+            if not self.by_word or len(r) >= MOST:
+                out += self._block(raw, held) if held else []
+                out.append(self._alone(t))
+                raw, held, total = [], [], 0
+                continue
+            if held and total + len(r) + 1 > MOST:
+                out += self._block(raw, held)
+                raw, held, total = [], [], 0
+            raw.append(r)
+            held.append(t)
+            total += len(r) + 1
+        return out + (self._block(raw, held) if held else [])
 
 
 @lru_cache(maxsize=4)
