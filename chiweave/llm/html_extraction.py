@@ -73,7 +73,7 @@ class _Blocks(HTMLParser):
                 inside = role == "article"
                 if tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody":
                     role = "chrome" if named & {"comment", "comments"} else "article"
-                elif tag in CHROME and not (inside and tag == "header") or a.get("role") in ROLES or tag in ("div", "section", "ul", "ol", "p", "span", "table", "details") and named & HINTS:
+                elif tag in CHROME and not (inside and tag == "header") or a.get("role") in ROLES or tag in ("div", "section", "ul", "ol", "p", "span", "table", "details") and named & (HINTS - {"header"} if inside else HINTS):
                     role = "chrome"
         if role != self.role:
             self.flush()

@@ -29,6 +29,10 @@ def test_unclosed_and_stray_tags():
     assert text("<article><p>a<div>b</span></div>c</article>d") == "a b c"
 
 
+def test_an_articles_own_header_stays():
+    assert text('<div class="header">Site</div><article><div class="post-header"><h1>Title</h1></div><p>Body</p></article>') == "Title Body"
+
+
 def test_suffix_array_and_prefixes_equal_brute_force():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 200):
