@@ -52,6 +52,19 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_clear: dict[str, object] = {}  # a worker's caches, by owner
+
+
+def only_cache(owner: str, clear) -> None:
+    """Called where a task of ``owner`` begins: empties what other operators keep in
+    this worker process, so that stages of one job do not add up."""
+    for other, empty in list(_clear.items()):
+        if other != owner:
+            empty()
+            del _clear[other]
+    _clear[owner] = clear
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

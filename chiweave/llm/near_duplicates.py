@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table
+from .common import discard, only_cache, table
 
 TREES, DEPTH = 16, 12
 #: A trie node with more classes is compared block by block, each pair of blocks a task's work.
@@ -37,7 +37,7 @@ _POWERS = (_rng.integers(1, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.
 class _Words(dict):
     """Hashes of words, at most ``most`` at a time."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -82,6 +82,7 @@ def _signed(df: DataFrame, n: int) -> DataFrame:
     """(doc_id, key, sig) of every row; key is the text's MD5, sig null without words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_cache("words", _words.clear)
         recent: OrderedDict[bytes, bytes | None] = OrderedDict()  # copies need no second signature
         for frame in frames:
             keys, sigs = [], []
@@ -304,6 +305,7 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     keyed = df.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("doc_id", low).alias("rep"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_cache("words", _words.clear)
         for frame in frames:
             s = [np.unique(shingles(t, n, _words)) for t in frame["text"]]
             yield pd.DataFrame({"key": frame["key"], "sig": [signature(x) for x in s], "s": [x.view(np.int64) for x in s]})

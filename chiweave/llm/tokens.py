@@ -18,8 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import only_cache
+
 #: Bytes hashed at a time; longer texts go to the library whole.
-MOST = 4 << 20
+MOST = 2 << 20
 _rng = np.random.default_rng(11)
 _VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C17 | 3
@@ -45,7 +47,7 @@ class Encoder:
     ``encode(text, add_special_tokens=False).ids``, but for a 64-bit collision of two
     words. Words not met among the last ``max_words`` new ones are forgotten."""
 
-    def __init__(self, path: str, dtype: str = "<u4", max_words: int = 500_000):
+    def __init__(self, path: str, dtype: str = "<u4", max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,12 +134,12 @@ class Encoder:
         last, before = x[np.maximum(ends - 1, 0)], x[np.maximum(ends - 2, 0)]
         mark = np.where(long & _LETTER[before] & ~is_first, np.where(last == _MARKS[0], 1, np.where(last == _MARKS[1], 2, 0)), 0)
         cut = ends - (mark > 0)
-        sums, carry = np.zeros(len(x) + 1, np.uint64), np.uint64(0)
+        sums = np.zeros(len(x) + 1, np.uint64)
         for at in range(0, len(x), 1 << 15):  # what the processor's cache holds
             v = _VALUE[x[at : at + (1 << 15)]]
             v *= power[at : at + len(v)]
-            v[0] += carry
-            carry = np.cumsum(v, out=sums[at + 1 : at + 1 + len(v)])[-1]
+            v[:1] += sums[at : at + 1]
+            np.cumsum(v, out=sums[at + 1 : at + 1 + len(v)])
         h = (sums[cut] - sums[starts]) * inverse[starts] + (cut - starts).astype(np.uint64)
         h[is_first] ^= _FIRST
         keys, one, which = np.unique(h, return_index=True, return_inverse=True)
@@ -184,10 +186,20 @@ class Encoder:
         return out + (self._block(raw, held) if held else [])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _kept(path: str, dtype: str) -> Encoder:
+    return Encoder(path, dtype)
+
+
+def _forget() -> None:
+    _kept.cache_clear()
+    _powers.cache_clear()
+
+
 def shared_encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One encoder a worker process, so that its words outlive a task."""
-    return Encoder(path, dtype)
+    only_cache("tokens", _forget)
+    return _kept(path, dtype)
 
 
 def blocks(texts: Sequence[str | None], chars: int = 1_000_000):
