@@ -1,11 +1,10 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Equal texts are one class. A class's signature is cut into trees of ``depth`` labels;
-classes that share a prefix of a tree's labels stand together in its trie. The join
-starts with whole prefixes, estimates from the similarities it meets which share of all
-links so long a prefix finds, and shortens the prefix until that share reaches the
-target recall. Candidates are then verified on exact shingle sets, group by group;
-connected classes form a larger group.
+classes that share a prefix of a tree's labels stand together in its trie. The prefix is
+the longest that finds a link at the threshold itself with the target recall, so that no
+group of many alike texts decides what other groups lose. Candidates are then verified on
+exact shingle sets, group by group; connected classes form a larger group.
 """
 
 from __future__ import annotations
@@ -225,23 +224,18 @@ def found_share(s: np.ndarray | float, depth: int) -> np.ndarray | float:
     return 1 - (1 - s**depth) ** TREES
 
 
-def _shorten(met: dict[float, int], depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix that finds ``recall`` of the links which the pairs met with
-    prefixes of ``depth`` stand for: each counts as one over its chance to be met."""
-    s = np.array([x for x in met if x >= threshold] or [threshold])
-    n = np.array([met[x] for x in met if x >= threshold] or [1])
-    weight = n / found_share(s, depth)
-    for d in range(depth, 1, -1):
-        if (weight * found_share(s, d)).sum() >= recall * weight.sum():
-            return d
-    return 1
+def _depth(threshold: float, recall: float) -> int:
+    """The longest prefix that finds links at the threshold itself with a chance of
+    ``recall`` or more. Links above it are found more often still, so every link has
+    that chance, whatever other links the corpus holds."""
+    return next((d for d in range(DEPTH, 1, -1) if found_share(threshold, d) >= recall), 1)
 
 
 @dataclass
 class NearDuplicates:
     """``documents``: doc_id, key, class_id, n_copies, n_links, group_id, a row per row
     of the input. ``links``: a, b (class ids, a < b), similarity, a row per link, if they
-    were asked for. ``depth``: the prefix length the forest settled at."""
+    were asked for. ``depth``: the prefix length of the forest."""
 
     documents: DataFrame
     links: DataFrame | None
@@ -287,16 +281,8 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     classes, _ = table(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "classes")
     signing = classes.filter("sig IS NOT NULL").select("key", "sig")
     floor = threshold - 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
-    depth = DEPTH
-    while True:
-        found, path = table(_candidates(signing, depth, floor), "candidates")
-        counts = found.filter("key IS NULL").groupBy("alike").agg(F.sum("n").alias("n"))
-        met = {r["alike"]: r["n"] for r in counts.collect()}  # TREES * DEPTH values at most
-        shorter = _shorten(met, depth, threshold, recall)
-        if shorter == depth:
-            break
-        discard(spark, path)
-        depth = shorter
+    depth = _depth(threshold, recall)
+    found, _ = table(_candidates(signing, depth, floor), "candidates")
     members = found.filter("key IS NOT NULL").select(*PLACE)
 
     # Exact verification: the shingle sets of candidates only, each from one row.
