@@ -2,21 +2,22 @@
 
 A page is parsed into blocks of text, each with a role: "article" inside an article
 element, "chrome" inside menus, headers, footers, sidebars, adverts, forms and the like,
-and "body" for the rest. Pages of one host (salted in groups of bounded size) form one
-token stream, whose suffix array shows the long runs of tokens that stand on several
-pages. Such runs are boilerplate where they stand in the body; a block that they cover
-goes, and of the others the uncovered runs stay. Text inside an article element stays
-whole: articles may quote or copy each other.
+and "body" for the rest. Of article and body blocks, those that a host repeats are site
+furniture: whole blocks are counted by their hashes, and long runs of tokens inside
+blocks are found by the suffix arrays of groups of the host's pages, then counted. Copies of a page count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import OrderedDict
+from collections.abc import Collection, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +110,23 @@ class _Blocks(HTMLParser):
         self.text.append(data)
 
 
-def page_blocks(html: str | None) -> list[tuple[str, str]]:
-    """(role, text) blocks of a page: those of its articles if it has any, else those of
-    its body, with chrome in both marked. White space inside a block is one space."""
+def _parsed(html: str | None) -> _Blocks:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    return parser
+
+
+def all_blocks(html: str | None) -> list[tuple[str, str]]:
+    """(role, text) blocks of a page in order. White space inside a block is one space."""
+    return _parsed(html).blocks
+
+
+def page_blocks(html: str | None) -> list[tuple[str, str]]:
+    """(role, text) blocks of a page: those of its articles if it has any, else those of
+    its body, with chrome in both marked."""
+    parser = _parsed(html)
     return [b for b in parser.blocks if b[0] != "body"] if parser.has_article else parser.blocks
 
 
@@ -156,21 +167,28 @@ def common_prefixes(x: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered_tokens(pages: Sequence[Sequence[int]], least: int, min_pages: int) -> list[np.ndarray]:
-    """For each page's token ids, which tokens lie in a run of ``least`` or more that
-    stands on ``min_pages`` or more of the pages. Pages are told apart by unique ends."""
-    if not pages:
-        return []
+def _runs(pages: Sequence[Sequence[int]], least: int) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """The pages' stream, each page with a unique end, and the positions in it that begin
+    with the same ``least`` tokens, with the number of pages they stand on."""
     top = max((max(p) for p in pages if len(p)), default=0) + 1
     x = np.concatenate([np.append(np.asarray(p, np.int64), top + i) for i, p in enumerate(pages)])
     owner = np.repeat(np.arange(len(pages)), [len(p) + 1 for p in pages])
     order = suffix_array(x)
-    lcp = common_prefixes(x, order)
+    inside = np.flatnonzero(common_prefixes(x, order) >= least)
+    groups = np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else []
+    found = [order[run[0] - 1 : run[-1] + 1] for run in groups]
+    return x, [(at, len(np.unique(owner[at]))) for at in found]
+
+
+def covered_tokens(pages: Sequence[Sequence[int]], least: int, min_pages: int) -> list[np.ndarray]:
+    """For each page's token ids, which tokens lie in a run of ``least`` or more that
+    stands on ``min_pages`` or more of the pages."""
+    if not pages:
+        return []
+    x, runs = _runs(pages, least)
     marks = np.zeros(len(x) + 1, np.int64)
-    inside = np.flatnonzero(lcp >= least)
-    for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else []:
-        at = order[run[0] - 1 : run[-1] + 1]  # suffixes that share ``least`` tokens
-        if len(np.unique(owner[at])) >= min_pages:
+    for at, n in runs:
+        if n >= min_pages:
             marks[at] += 1
             marks[at + least] -= 1
     covered = np.cumsum(marks[:-1]) > 0
@@ -178,65 +196,153 @@ def covered_tokens(pages: Sequence[Sequence[int]], least: int, min_pages: int) -
     return [covered[e - len(p) - 1 : e - 1] for e, p in zip(ends, pages)]
 
 
-def main_texts(pages: Sequence[str | None], *, least: int = 4, min_pages: int = 3, max_cover: float = 0.7) -> list[str]:
-    """The main text of each page of one group of a host's pages."""
-    parsed = [page_blocks(h) for h in pages]
+#: Kinds of counts: of whole blocks, of runs of ``LEAST`` tokens, of all pages.
+BLOCK, RUN, ALL = 0, 1, 2
+LEAST, MIN_PAGES = 4, 3
+Counts = dict[tuple[int, int], int]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _text_blocks(html: str | None) -> tuple[tuple[str, str], ...]:
+    return tuple(b for b in all_blocks(html) if b[0] != "chrome")
+
+
+def repeats(pages: Collection[tuple[tuple[str, str], ...]], least: int = LEAST) -> Counts:
+    """On how many of the different ``pages`` (their blocks) each block stands, and each
+    run of ``least`` tokens inside blocks that stands on two or more."""
+    found: Counts = {(ALL, 0): len(pages)}
     ids: dict[str, int] = {}
-    streams = [[ids.setdefault(w, len(ids)) for role, text in p if role != "article" for w in (*text.split(), "\n")] for p in parsed]
-    covers = covered_tokens(streams, least, min_pages)
-    out = []
-    for blocks, cover in zip(parsed, covers):
-        kept, at = [], 0
-        for role, text in blocks:
-            if role == "article":
-                kept.append(text)
-                continue
+    streams, ends = [], 0
+    for blocks in pages:
+        for h in {_hash(text) for _, text in blocks}:
+            found[BLOCK, h] = found.get((BLOCK, h), 0) + 1
+        stream: list[int] = []
+        for _, text in blocks:
             tokens = text.split()
-            own, at = cover[at : at + len(tokens)], at + len(tokens) + 1
-            if role == "body" and own.sum() < max_cover * len(tokens):
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
-                for a, z in edges.reshape(-1, 2):
-                    if z - a < least:  # the end of a run that lies in the next block
-                        own[a:z] = False
-                kept.append(" ".join(w for w, c in zip(tokens, own) if not c))
-        out.append(" ".join(k for k in kept if k))
-    return out
+            if len(tokens) >= least:  # each block has an end of its own: no run passes it
+                ends += 1
+                stream += [ids.setdefault(w, len(ids)) for w in tokens]
+                stream.append(ids.setdefault(f"\n{ends}", len(ids)))
+        streams.append(stream)
+    if ids:
+        words = list(ids)
+        x, runs = _runs(streams, least)
+        for at, n in runs:
+            if n >= 2:
+                found[RUN, _hash(" ".join(words[i] for i in x[at[0] : at[0] + least]))] = n
+    return found
+
+
+def main_text(blocks: Sequence[tuple[str, str]], counts: Counts, *, least: int = LEAST, min_pages: int = MIN_PAGES, share: float = 0.0, max_cover: float = 0.7) -> str:
+    """The main text of a page, given on how many pages of its host things stand.
+
+    A body block goes if it stands on ``share`` of the pages, or has ``least`` tokens and
+    stands on ``min_pages``; of others, runs of ``least`` tokens on ``share`` of the pages
+    are cut, and the block goes if they cover ``max_cover`` of it. An article block goes
+    only whole, and if it, or runs that cover it so, stand on most pages; an article of
+    nothing else stays. Beside an article, a stretch of body with fewer than ``least``
+    tokens left is no text.
+    """
+    total = counts.get((ALL, 0), 0)
+    often, most = max(min_pages, share * total), max(min_pages, total // 2 + 1)
+    any_runs = any(kind == RUN for kind, _ in counts)
+
+    def rest(role: str, text: str) -> str:
+        tokens, need = text.split(), most if role == "article" else often
+        n = counts.get((BLOCK, _hash(text)), 0)
+        if n >= need or role == "body" and len(tokens) >= least and n >= min_pages:
+            return ""
+        if not any_runs or len(tokens) < least:
+            return text
+        own = np.zeros(len(tokens), bool)
+        for i in range(len(tokens) - least + 1):
+            if counts.get((RUN, _hash(" ".join(tokens[i : i + least]))), 0) >= need:
+                own[i : i + least] = True
+        if own.sum() >= max_cover * len(tokens):
+            return ""
+        return text if role == "article" else " ".join(w for w, c in zip(tokens, own) if not c)
+
+    left = [(role, "" if role == "chrome" else rest(role, text)) for role, text in blocks]
+    has_article = any(role == "article" for role, _ in blocks)
+    if has_article and not any(t for role, t in left if role == "article"):
+        left = [(role, text if role == "article" else t) for (role, t), (_, text) in zip(left, blocks)]
+    kept: list[str] = []
+    for role, stretch in groupby(left, key=lambda b: b[0]):
+        texts = [t for _, t in stretch if t]
+        if role == "article" or role == "body" and (not has_article or sum(len(t.split()) for t in texts) >= least):
+            kept += texts
+    return " ".join(kept)
+
+
+def main_texts(pages: Sequence[str | None], **how: float) -> list[str]:
+    """The main text of each page of a host, of which these are all pages."""
+    counts = repeats(dict.fromkeys(_text_blocks(h) for h in pages), int(how.get("least", LEAST)))
+    return [main_text(all_blocks(h), counts, **how) for h in pages]
+
+
+FOUND = "host string, part int, kind int, hash long, n long"
 
 
 def extract(df: DataFrame, *, group: int = 256, **how: float) -> DataFrame:
     """The main text of every page of ``df`` (page_id, url, html): page_id, url, text
     (empty if none) and n_chars.
 
-    The pages of a host are dealt into groups of about ``group`` by a hash, so a host
-    with most pages takes many tasks; a group is parsed and its suffix array built at once.
-    Without an article element, a body run repeated on three or more pages of its group is
-    boilerplate; a host with fewer pages keeps its body. A null page is empty; a null url
-    is a host of its own; repeated rows are separate pages with equal texts; other
-    columns are not read; an empty table gives no row.
+    The pages of a host are dealt into groups of about ``group`` by a hash of the page, so
+    a host with most pages takes many tasks, and copies meet; a group's suffix array is
+    built at once. Each group's pages get the counts of what the group holds. A host with fewer pages than ``min_pages`` repeats nothing. A null page
+    is empty; a null url is a host of its own; repeated rows are separate pages with
+    equal texts; other columns are not read; an empty table gives no row.
     """
+    least, min_pages = int(how.get("least", LEAST)), int(how.get("min_pages", MIN_PAGES))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    sizes, _ = table(df.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), "host-sizes")
+    sizes, _ = table(df.groupBy(host.alias("host")).agg(F.count("*").alias("n")).select("host", "n", F.ceil(F.col("n") / group).cast("int").alias("parts")), "host-sizes")
     pages = df.select("page_id", "url", "html", host.alias("host"))
-    few = sizes.count() <= 1_000_000
-    dealt = pages.join(F.broadcast(sizes) if few else sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "parts"))
+    few = lambda x, n: F.broadcast(x) if n <= 1_000_000 else x
+    dealt = pages.join(few(sizes, sizes.count()), "host").withColumn("part", F.pmod(F.xxhash64("html"), "parts").cast("int"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    grouped = dealt.filter(F.col("n") >= min_pages).select("host", "part", "parts", "html").repartition(n, "host", "part").sortWithinPartitions("host", "part")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple | None = None
+        held: dict[tuple, None] = {}  # different pages only
 
         def done() -> pd.DataFrame:
-            texts = main_texts([r[4] for r in held], **how)
-            ids = pd.array([None if pd.isna(r[2]) else int(r[2]) for r in held], dtype="Int64")
-            return pd.DataFrame({"page_id": ids, "url": [r[3] for r in held], "text": texts, "n_chars": [len(t) for t in texts]})
+            # Of a host in one group, only what counts; else all blocks, for the sum.
+            few = [(*k, c) for k, c in repeats(held, least).items() if at[2] > 1 or c >= min_pages or k[0] == ALL]
+            kind, hashed, c = zip(*few)
+            return pd.DataFrame({"host": at[0], "part": at[1], "kind": kind, "hash": hashed, "n": c})
 
         for frame in frames:
-            for row in zip(*(frame[c] for c in ("host", "part", "page_id", "url", "html"))):
-                if held and (row[:2] != held[0][:2] or len(held) >= 4 * group):
+            for row in zip(*(frame[c] for c in ("host", "part", "parts", "html"))):
+                if held and (row[:3] != at or len(held) >= 4 * group):
                     yield done()
-                    held = []
-                held.append(row)
+                    held = {}
+                at = row[:3]
+                held[_text_blocks(row[3])] = None
         if held:
             yield done()
 
-    return sorted_.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    found, _ = table(grouped.mapInPandas(count, FOUND), "repeats")
+    sums = found.groupBy("host", "part", "kind", "hash").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_pages) | (F.col("kind") == ALL))
+    listed = found.select("host", "part", "kind", "hash").distinct().join(sums, ["host", "part", "kind", "hash"])
+    listed, _ = table(listed.groupBy("host", "part").agg(F.collect_list(F.struct("kind", "hash", "n")).alias("found")), "furniture")
+    size = listed.agg(F.sum(F.size("found"))).collect()[0][0] or 0
+    ready = dealt.select("page_id", "url", "html", "host", "part").join(few(listed, size), ["host", "part"], "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recent: OrderedDict[tuple, Counts] = OrderedDict()
+        for frame in frames:
+            texts = []
+            for key, html, kinds, hashes, ns in zip(zip(frame["host"], frame["part"]), *(frame[c] for c in ("html", "kind", "hash", "n"))):
+                if key not in recent:
+                    recent[key] = {} if kinds is None else dict(zip(zip(kinds.tolist(), hashes.tolist()), ns.tolist()))
+                    if len(recent) > 64:
+                        recent.popitem(last=False)
+                texts.append(main_text(all_blocks(html), recent[key], **how))
+            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    lists = (F.col(f"found.{c}").alias(c) for c in ("kind", "hash", "n"))
+    return ready.select("page_id", "url", "html", "host", "part", *lists).mapInPandas(run, "page_id long, url string, text string, n_chars long")
