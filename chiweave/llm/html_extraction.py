@@ -4,7 +4,8 @@ A page is parsed into blocks of text, each with a role: "article" inside an arti
 element, "chrome" inside menus, headers, footers, sidebars, adverts, forms and the like,
 and "body" for the rest. Of article and body blocks, those that a host repeats are site
 furniture: whole blocks are counted by their hashes, and long runs of tokens inside
-blocks are found by the suffix arrays of groups of the host's pages, then counted. Copies of a page count once.
+blocks are found by the suffix arrays of groups of the host's pages, then counted over
+all groups. Copies of a page count once.
 """
 
 from __future__ import annotations
@@ -292,7 +293,9 @@ def extract(df: DataFrame, *, group: int = 256, **how: float) -> DataFrame:
 
     The pages of a host are dealt into groups of about ``group`` by a hash of the page, so
     a host with most pages takes many tasks, and copies meet; a group's suffix array is
-    built at once. Each group's pages get the counts of what the group holds. A host with fewer pages than ``min_pages`` repeats nothing. A null page
+    built at once. What the groups find is counted over the whole host: blocks exactly,
+    runs where a group holds two. Each group's pages then get the counts of what the
+    group holds. A host with fewer pages than ``min_pages`` repeats nothing. A null page
     is empty; a null url is a host of its own; repeated rows are separate pages with
     equal texts; other columns are not read; an empty table gives no row.
     """
@@ -326,8 +329,8 @@ def extract(df: DataFrame, *, group: int = 256, **how: float) -> DataFrame:
             yield done()
 
     found, _ = table(grouped.mapInPandas(count, FOUND), "repeats")
-    sums = found.groupBy("host", "part", "kind", "hash").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_pages) | (F.col("kind") == ALL))
-    listed = found.select("host", "part", "kind", "hash").distinct().join(sums, ["host", "part", "kind", "hash"])
+    sums = found.groupBy("host", "kind", "hash").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_pages) | (F.col("kind") == ALL))
+    listed = found.select("host", "part", "kind", "hash").distinct().join(sums, ["host", "kind", "hash"])
     listed, _ = table(listed.groupBy("host", "part").agg(F.collect_list(F.struct("kind", "hash", "n")).alias("found")), "furniture")
     size = listed.agg(F.sum(F.size("found"))).collect()[0][0] or 0
     ready = dealt.select("page_id", "url", "html", "host", "part").join(few(listed, size), ["host", "part"], "left")

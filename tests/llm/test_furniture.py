@@ -15,3 +15,12 @@ def test_a_story_beside_article_teasers_stays():
 def test_what_most_pages_repeat_inside_an_article_goes():
     pages = [page(i, "<p>read our terms</p>") for i in range(6)]
     assert H.main_texts(pages) == [f"title {i} {prose(i)}" for i in range(6)]
+
+
+def test_groups_of_a_host_count_together(spark):
+    notice = prose(999, 30)
+    rows = [(i, f"https://h.example.com/{i}", f"<p>{prose(i)}</p>" + (f"<div>{notice}</div>" if i % 20 == 0 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: prose(i) for i in range(80)}
+    for group in (8, 256):
+        assert {r["page_id"]: r["text"] for r in H.extract(df, group=group).collect()} == want
