@@ -175,7 +175,9 @@ def _runs(pages: Sequence[Sequence[int]], least: int) -> tuple[np.ndarray, list[
     x = np.concatenate([np.append(np.asarray(p, np.int64), top + i) for i, p in enumerate(pages)])
     owner = np.repeat(np.arange(len(pages)), [len(p) + 1 for p in pages])
     order = suffix_array(x)
-    inside = np.flatnonzero(common_prefixes(x, order) >= least)
+    inside, padded = np.arange(1, len(x)), np.append(x, np.zeros(least, np.int64))
+    for k in range(least):  # neighbours in the array that share ``least`` tokens; none passes a unique end
+        inside = inside[padded[order[inside - 1] + k] == padded[order[inside] + k]]
     groups = np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(inside) else []
     found = [order[run[0] - 1 : run[-1] + 1] for run in groups]
     return x, [(at, len(np.unique(owner[at]))) for at in found]
@@ -199,7 +201,7 @@ def covered_tokens(pages: Sequence[Sequence[int]], least: int, min_pages: int) -
 
 #: Kinds of counts: of whole blocks, of runs of ``LEAST`` tokens, of all pages.
 BLOCK, RUN, ALL = 0, 1, 2
-LEAST, MIN_PAGES = 4, 3
+LEAST, MIN_PAGES, SHARE = 20, 3, 0.1
 Counts = dict[tuple[int, int], int]
 
 
@@ -237,7 +239,7 @@ def repeats(pages: Collection[tuple[tuple[str, str], ...]], least: int = LEAST)
     return found
 
 
-def main_text(blocks: Sequence[tuple[str, str]], counts: Counts, *, least: int = LEAST, min_pages: int = MIN_PAGES, share: float = 0.0, max_cover: float = 0.7) -> str:
+def main_text(blocks: Sequence[tuple[str, str]], counts: Counts, *, least: int = LEAST, min_pages: int = MIN_PAGES, share: float = SHARE, max_cover: float = 0.7) -> str:
     """The main text of a page, given on how many pages of its host things stand.
 
     A body block goes if it stands on ``share`` of the pages, or has ``least`` tokens and
@@ -341,7 +343,9 @@ def extract(df: DataFrame, *, group: int = 256, **how: float) -> DataFrame:
             texts = []
             for key, html, kinds, hashes, ns in zip(zip(frame["host"], frame["part"]), *(frame[c] for c in ("html", "kind", "hash", "n"))):
                 if key not in recent:
-                    recent[key] = {} if kinds is None else dict(zip(zip(kinds.tolist(), hashes.tolist()), ns.tolist()))
+                    counts = {} if kinds is None else dict(zip(zip(kinds.tolist(), hashes.tolist()), ns.tolist()))
+                    often = how.get("share", SHARE) * counts.get((ALL, 0), 0)  # rarer runs decide nothing
+                    recent[key] = {k: c for k, c in counts.items() if k[0] != RUN or c >= often}
                     if len(recent) > 64:
                         recent.popitem(last=False)
                 texts.append(main_text(all_blocks(html), recent[key], **how))

@@ -17,6 +17,12 @@ def test_what_most_pages_repeat_inside_an_article_goes():
     assert H.main_texts(pages) == [f"title {i} {prose(i)}" for i in range(6)]
 
 
+def test_short_runs_stay_in_unique_blocks_and_long_ones_go():
+    notice = prose(999, 30)
+    pages = [f"<p>{prose(i)} at the end of {prose(100 + i)} {notice} {i}</p>" for i in range(6)]
+    assert H.main_texts(pages) == [f"{prose(i)} at the end of {prose(100 + i)} {i}" for i in range(6)]
+
+
 def test_groups_of_a_host_count_together(spark):
     notice = prose(999, 30)
     rows = [(i, f"https://h.example.com/{i}", f"<p>{prose(i)}</p>" + (f"<div>{notice}</div>" if i % 20 == 0 else "")) for i in range(80)]
