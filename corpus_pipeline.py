@@ -42,8 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return pack(docs, BPE, keep_ids=False)
+    """Pieces of documents, with their token ids, in sequences of at most 2048 tokens."""
+    return pack(docs, BPE)
 
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixing), ("best-fit packing", packing)]
