@@ -3,10 +3,11 @@
 A byte-level pre-tokenizer never joins two words across a single space, and takes a
 comma or full stop after a letter at a word's end for a piece of its own. So the ids of a
 text are those of its first word followed by those of each " word". The words of many
-texts are found, hashed and told apart in numpy; each worker keeps the ids of words it
-has met, by hash; new words go to the library as one text, whose ids are cut where a
-token begins with the space. Anything irregular at a word's edge (two spaces, other white
-space, a special token) sends the whole text to the library.
+texts are found and told apart in numpy, by hashes whose members are then compared byte by
+byte; each worker keeps the ids of words it has met, by the words themselves; new words go
+to the library as one text, whose ids are cut where a token begins with the space. Anything
+irregular at a word's edge (two spaces, other white space, a special token), and a word
+whose hash belongs to another word, sends the whole text to the library.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _FIRST = np.uint64(0x5851F42D4C957F2D)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARKS = b",."
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -42,10 +45,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _differ(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which of the words x[starts:ends] are not the very bytes of the word ``like`` them."""
+    size = ends - starts
+    out = size != size[like]
+    todo = np.flatnonzero((like != np.arange(len(like))) & ~out & (size > 0))
+    a, b, n = starts[todo], starts[like[todo]], size[todo]
+    padded = np.append(x, np.zeros(8, np.uint8))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(x), 8), (1, 1))  # 8 bytes from each place
+    low = _LOW[np.minimum(n, 8)]
+    while len(todo):
+        unequal = ((eights[a].view("<u8")[:, 0] ^ eights[b].view("<u8")[:, 0]) & low) != 0
+        out[todo[unequal]] = True
+        more = ~unequal & (n > 8)
+        todo, a, b, n = todo[more], a[more] + 8, b[more] + 8, n[more] - 8
+        low = _LOW[np.minimum(n, 8)]
+    return out
+
+
 class Encoder:
-    """Texts to ids, as bytes of little-endian ``dtype``; equal to the library's
-    ``encode(text, add_special_tokens=False).ids``, but for a 64-bit collision of two
-    words. Words not met among the last ``max_words`` new ones are forgotten."""
+    """Texts to ids, as bytes of little-endian ``dtype``; always equal to the library's
+    ``encode(text, add_special_tokens=False).ids``. Words not met among the last
+    ``max_words`` new ones are forgotten. A ``dtype`` too small for the vocabulary raises."""
 
     def __init__(self, path: str, dtype: str = "<u4", max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,14 +76,16 @@ class Encoder:
         if hasattr(self.lib.model, "_resize_cache"):
             self.lib.model._resize_cache(0)  # ours keeps every word; the library's only costs
         self.dtype, self.max_words = np.dtype(dtype), max_words
-        self.by_word = "ByteLevel(add_prefix_space=False" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.by_word = "ByteLevel(add_prefix_space=False" in str(self.lib.pre_tokenizer) and self.lib.normalizer is None and not any(" " in t for t in self.special)
         vocabulary = self.lib.get_vocab()
+        if max(vocabulary.values()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"ids up to {max(vocabulary.values())} do not fit {self.dtype}")
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with the space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
         self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.marks = [self._alone(chr(m)) for m in _MARKS]
 
     def _alone(self, text: str) -> bytes:
@@ -72,7 +95,7 @@ class Encoder:
         if not word:
             return False
         a, z = word[0], word[-1]
-        return a > " " and z > " " and not a.isspace() and not z.isspace() and not ("<" in word and any(s in word for s in self.special))
+        return a > " " and z > " " and not a.isspace() and not z.isspace() and not any(s in word for s in self.special)
 
     def _spaced(self, words: list[bytes]) -> list[bytes]:
         """The ids of " word" for each of the regular words."""
@@ -88,33 +111,34 @@ class Encoder:
         ends = np.append(at[1:], len(flat)).tolist()
         return [flat[a:z] for a, z in zip(at.tolist(), ends)]
 
-    def _ids(self, keys: list[int], word, plain: list[bool], first: list[bool]) -> list[bytes]:
-        """The ids of the words with these hashes, b"" for irregular ones. ``word(i)``
-        gives the i-th; ``plain`` tells those that are regular for sure, ``first`` those
-        that no space precedes."""
+    def _ids(self, words: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of each of these words, b"" for irregular ones. A word that no space
+        precedes comes with one in front, which no word holds itself; ``plain`` tells the
+        others that are regular for sure."""
         young = self.young
-        found = list(map(young.get, keys))
+        found = list(map(young.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new: list[int] = []
             for i in missing:
-                x = self.old.get(keys[i])
+                x = self.old.get(words[i])
                 if x is None:
                     new.append(i)
                 else:
-                    found[i] = young[keys[i]] = x
-            spaced, texts = [], []
+                    found[i] = young[words[i]] = x
+            spaced = []
             for i in new:
-                w = word(i)
-                if not first[i] and (plain[i] or self._regular(w.decode("utf-8", "surrogatepass"))):
+                w = words[i]
+                if w[:1] == b" ":
+                    t = w[1:].decode("utf-8", "surrogatepass")
+                    found[i] = self._alone(t) if self._regular(t) else b""
+                elif plain[i] or self._regular(w.decode("utf-8", "surrogatepass")):
                     spaced.append(i)
-                    texts.append(w)
                 else:
-                    t = w.decode("utf-8", "surrogatepass")
-                    found[i] = self._alone(t) if first[i] and self._regular(t) else b""
-            for i, x in zip(spaced, self._spaced(texts)):
+                    found[i] = b""
+            for i, x in zip(spaced, self._spaced([words[i] for i in spaced])):
                 found[i] = x
-            young.update((keys[i], found[i]) for i in new)
+            young.update((words[i], found[i]) for i in new)
             if len(young) > self.max_words:
                 self.old, self.young = young, {}
         return found
@@ -142,15 +166,16 @@ class Encoder:
             np.cumsum(v, out=sums[at + 1 : at + 1 + len(v)])
         h = (sums[cut] - sums[starts]) * inverse[starts] + (cut - starts).astype(np.uint64)
         h[is_first] ^= _FIRST
-        keys, one, which = np.unique(h, return_index=True, return_inverse=True)
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        differs = _differ(x, starts, cut, one[which])
         edge_a, edge_z = x[starts[one]], x[np.maximum(cut[one] - 1, 0)]
         plain = (edge_a > 32) & (edge_a < 127) & (edge_z > 32) & (edge_z < 127) & (cut[one] > starts[one])
         if any(t.encode() in buf for t in self.special):
             plain[:] = False
-        a, z = starts[one].tolist(), cut[one].tolist()
-        ids = self._ids(keys.tolist(), lambda i: buf[a[i] : z[i]], plain.tolist(), is_first[one].tolist())
+        met = [b" " + buf[a:z] if f else buf[a:z] for a, z, f in zip(starts[one].tolist(), cut[one].tolist(), is_first[one].tolist())]
+        ids = self._ids(met, plain.tolist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        broken = np.logical_or.reduceat((size == 0)[which], first_word[:-1])
+        broken = np.logical_or.reduceat((size == 0)[which] | differs, first_word[:-1])
         # Words and the marks after them in order: units, each a slice of the flat ids.
         units = np.repeat(which, 1 + (mark > 0))
         at_word = np.arange(len(which)) + np.cumsum(mark > 0) - (mark > 0)
