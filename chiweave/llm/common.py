@@ -6,7 +6,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="chiweave-")
         spark.sparkContext.setCheckpointDir(named)
@@ -65,6 +70,38 @@ def only_cache(owner: str, clear) -> None:
     _clear[owner] = clear
 
 
+class WordHashes(dict):
+    """Hashes of words (bytes), at most ``most`` of them kept."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
+
+
+_POWERS = (np.random.default_rng(21).integers(1, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def run_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, given the words' own; none if there are fewer."""
+    m = len(w) - k + 1
+    if m < 1:
+        return w[:0]
+    s = np.full(m, k, np.uint64)
+    for j in range(k):
+        s += w[j : m + j] * _POWERS[j % len(_POWERS)] + (s << np.uint64(7) if j >= len(_POWERS) else np.uint64(0))
+    s ^= s >> np.uint64(29)
+    s *= np.uint64(0x9E3779B97F4A7C15)
+    return s ^ (s >> np.uint64(32))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -16,11 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, only_cache, table
+from .common import WordHashes, discard, only_cache, run_hashes, table
 
 TREES, DEPTH = 16, 12
 #: A trie node with more classes is compared block by block, each pair of blocks a task's work.
@@ -30,37 +29,13 @@ BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
-_POWERS = (_rng.integers(1, 1 << 63, 16, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-class _Words(dict):
-    """Hashes of words, at most ``most`` at a time."""
-
-    def __init__(self, most: int = 300_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: str | None, n: int, words: _Words) -> np.ndarray:
+def shingles(text: str | None, n: int, words: WordHashes) -> np.ndarray:
     """Hashes of all runs of ``n`` words, with repeats; of the whole text if it has
     fewer; none if it has no word. Words are split at ASCII white space only."""
     raw = (text or "").encode("utf-8", "surrogatepass").split()
-    w = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
-    k = min(n, len(w))
-    if not k:
-        return w
-    m = len(w) - k + 1
-    s = np.full(m, k, np.uint64)
-    for j in range(k):
-        s += w[j : m + j] * _POWERS[j % len(_POWERS)] + (s << np.uint64(7) if j >= len(_POWERS) else np.uint64(0))
-    s ^= s >> np.uint64(29)
-    s *= np.uint64(0x9E3779B97F4A7C15)
-    return s ^ (s >> np.uint64(32))
+    return run_hashes(words.of(raw, len(raw)), min(n, len(raw))) if raw else np.zeros(0, np.uint64)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -74,7 +49,7 @@ def signature(s: np.ndarray) -> bytes:
     return ((low * np.uint32(2654435761)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
-_words = _Words()
+_words = WordHashes()
 
 
 def _signed(df: DataFrame, n: int) -> DataFrame:
