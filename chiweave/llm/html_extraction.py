@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, only_cache, run_hashes, table
+from .common import WordHashes, discard, only_cache, run_hashes, table
 
 # Element names and the words in class, id or role that tell them apart.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist map".split())
@@ -427,7 +427,11 @@ def extract(df: DataFrame, *, group: int = 256, group_tokens: int = 1_000_000, *
     n_hosts = hosts.count()
     items = parsed.select("host", "page", F.explode("items").alias("x")).join(few(hosts, n_hosts), "host")
     items = items.select("page", "total", F.col("x").bitwiseAND(-2).alias("item"), F.when(F.col("x").bitwiseAND(1) == 1, F.lit(float(min_pages))).otherwise(F.col("often")).alias("need"))
-    hot, _ = table(items.groupBy("item").agg(F.count_distinct("page").alias("n"), F.min("need").alias("need")).filter("n >= need").select("item", "n"), "repeats")
+    # Most items stand on one page: one exchange finds them, and only the others are counted.
+    twice, twice_path = table(items.groupBy("item").agg(F.min("page").alias("a"), F.max("page").alias("z")).filter("a < z").select("item"), "twice")
+    hot = items.join(few(twice, twice.count()), "item").groupBy("item").agg(F.count_distinct("page").alias("n"), F.min("need").alias("need"))
+    hot, _ = table(hot.filter("n >= need").select("item", "n"), "repeats")
+    discard(df.sparkSession, twice_path)
     n_hot = hot.count()
     if not n_hot:
         return _texts(parsed.withColumns({"total": F.lit(0), "found": F.lit(None).cast("array<struct<item:long,n:long>>"), "runs": F.lit(None).cast("array<struct<run:long,n:long>>")}), how)
