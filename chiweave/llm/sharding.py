@@ -5,8 +5,9 @@ together. Splitters that cut this order into ranges of equal bytes are found by
 every partition counts the exact bytes below evenly spaced probes in the intervals that
 still hold a splitter, and the interval that holds it shrinks to two neighbouring
 probes, until a probe is within tolerance. A hash value that alone outweighs the
-tolerance (a large group of equal texts) is cut further by doc_id in the same way. Then
-each row moves once, to its range.
+tolerance (a large group of equal texts) is cut further by doc_id in the same way. Inside
+a shard, equally wide cells of the hash are the ranges that tasks sort; a text that
+outweighs a cell gets ranges of doc_id of its own. Then each row moves once, to its range.
 """
 
 from __future__ import annotations
@@ -91,38 +92,86 @@ def splitters(keys: DataFrame, n: int, *, probes: int = 256, tolerance: float =
     return [out[s] for s in sorted(out)]
 
 
+RANGE = ["shard", "cell", "heavy", "piece"]
+BROADCAST_ROWS = 1_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _shard_of(cuts: list[Key], key: Column, order_id: Column) -> Column:
+    """How many of the cuts are at or below the row."""
+    hashes = [h for h, _ in cuts]
+    where = _below(key, hashes)
+    for h in sorted({h for h, d in cuts if d != LOW}):  # rows of a hash that is cut by doc_id
+        where = F.when(key == h, bisect_right(hashes, h - 1) + _below(order_id, [d for x, d in cuts if x == h])).otherwise(where)
+    return where.cast("int")
+
+
+def _cell_of(cuts: list[Key], per: int) -> Column:
+    """The cell of a row inside its shard: one of ``per`` equally wide stretches of the
+    shard's hashes. It never falls as the hash grows."""
+    if per == 1:
+        return F.lit(0)
+    edges = [float(LOW), *(float(h) for h, _ in cuts), float(HIGH)]
+    width = [max(1.0, (b - a) / per) for a, b in zip(edges, edges[1:])]
+    at = F.col("shard") + 1
+    lows, widths = F.array(*map(F.lit, edges[:-1])), F.array(*map(F.lit, width))
+    cell = F.floor((F.col("hash").cast("double") - F.element_at(lows, at)) / F.element_at(widths, at))
+    return F.greatest(F.lit(0), F.least(F.lit(per - 1), cell)).cast("int")
+
+
+def _with_ranges(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """Adds ``heavy`` and ``piece``: of a row of a heavy text the hash and the stretch of
+    doc_id, of others null and 0."""
+    if heavy is None:
+        return rows.withColumns({"heavy": F.lit(None).cast("long"), "piece": F.lit(0)})
+    piece = F.greatest(F.lit(0), F.floor((F.col("order_id").cast("double") - F.col("low")) / F.col("width"))).cast("int")
+    mark = heavy.select("shard", F.col("hash").alias("heavy"), "low", "width")
+    on = (rows["shard"] == mark["shard"]) & (rows["hash"] == mark["heavy"])
+    return rows.join(_few(mark), on, "left").drop(mark["shard"]).withColumn("piece", F.coalesce(piece, F.lit(0))).drop("low", "width")
+
+
 def shard(df: DataFrame, n_shards: int = 40, *, range_bytes: int = 256 << 20) -> DataFrame:
     """Adds size (UTF-8 bytes of ``text`` plus 16; null: none plus 16), text_crc32,
     shard (0 .. ``n_shards`` - 1) and slot (gapless from 0 in each shard) to every row of
     ``df``; all its other columns move along.
 
-    Shards hold near equal bytes. A shard of more than ``range_bytes`` is cut into
-    ranges of its own, so no task holds a whole large shard. Rows that share text and
-    doc_id stay in one range, in any order; a null doc_id sorts first; an empty table
-    gives no row; columns named like the added ones are replaced.
+    Shards hold near equal bytes. A shard of more than ``range_bytes`` is sorted in cells
+    of about that size, and the rows of a text that alone has more in stretches of
+    doc_id, so no task holds a whole large shard; only ``n_shards`` - 1 splitters ever
+    reach a plan or the driver. Slots follow the hash, heavy texts after the rest of
+    their cell. Rows that share text and doc_id come in any order; a null doc_id sorts
+    first; a very long text is a row like any other; an empty table gives no row; columns
+    named like the added ones are replaced, all others come through.
     """
-    added = ("size", "text_crc32", "shard", "slot", "hash", "range")
-    df = df.drop(*(c for c in df.columns if c in added))
+    added = ("size", "text_crc32", "shard", "slot")
+    row = [c for c in df.columns if c not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
-    full = df.withColumn("size", F.octet_length(text).cast("long") + 16).withColumn("hash", F.xxhash64(text))
-    order_id = F.coalesce(F.col("doc_id"), F.lit(LOW)).cast("long")
-    keys, path = table(full.select("hash", order_id.alias("doc_id"), "size"), "shard-keys")
+    slim = df.select(F.struct(*row).alias("row"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("hash"), F.coalesce(F.col("doc_id"), F.lit(LOW)).cast("long").alias("order_id"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    full = slim.withColumn("size", F.col("bytes") + 16).drop("bytes")
+    keys, path = table(full.select("hash", F.col("order_id").alias("doc_id"), "size"), "shard-keys")
     total = keys.agg(F.sum("size")).collect()[0][0] or 0
     per = max(1, -(-total // (n_shards * range_bytes)))
-    cuts = splitters(keys, n_shards * per)
+    cuts = splitters(keys, n_shards)
+    placed = full.withColumn("shard", _shard_of(cuts, F.col("hash"), F.col("order_id")))
+    placed = placed.withColumn("cell", _cell_of(cuts, per))
+    heavy = None
+    if per > 1:
+        at = keys.withColumnRenamed("doc_id", "order_id").withColumn("shard", _shard_of(cuts, F.col("hash"), F.col("order_id"))).withColumn("cell", _cell_of(cuts, per))
+        over, over_path = table(at.groupBy("shard", "cell").agg(F.sum("size").alias("w")).filter(F.col("w") > 2 * range_bytes).select("shard", "cell"), "heavy-cells")
+        same = at.join(_few(over), ["shard", "cell"]).groupBy("shard", "hash").agg(F.sum("size").alias("w"), F.coalesce(F.min(F.when(F.col("order_id") != LOW, F.col("order_id"))), F.lit(0)).cast("double").alias("low"), F.max("order_id").cast("double").alias("high"))
+        heavy, _ = table(same.filter(F.col("w") > range_bytes).select("shard", "hash", "low", F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.ceil(F.col("w") / range_bytes)).alias("width")), "heavy-texts")
+        discard(df.sparkSession, over_path)
+        counts, _ = table(_with_ranges(at, heavy).groupBy(*RANGE).agg(F.count("*").alias("n")), "range-counts")
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell", F.asc_nulls_first("heavy"), "piece").rowsBetween(Window.unboundedPreceding, -1))
+        counts, _ = table(counts.select(*(F.col(c).alias(f"r_{c}") for c in RANGE), F.coalesce(before, F.lit(0)).alias("before")), "range-starts")
     discard(df.sparkSession, path)
-    hashes = [h for h, _ in cuts]
-    where = _below(F.col("hash"), hashes)
-    ties = sorted({h for h, d in cuts if d != LOW})
-    for h in ties:  # rows of a hash that is cut by doc_id
-        ids = [d for x, d in cuts if x == h]
-        where = F.when(F.col("hash") == h, bisect_right(hashes, h - 1) + _below(order_id, ids)).otherwise(where)
-    ranged = full.withColumn("range", where.cast("int")).withColumn("text_crc32", F.crc32(F.encode(text, "utf-8")))
-    slot = F.row_number().over(Window.partitionBy("range").orderBy("hash", order_id)) - 1
-    placed = ranged.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("range") / per).cast("int"))
+    placed = _with_ranges(placed, heavy)
+    slot = F.row_number().over(Window.partitionBy(*RANGE).orderBy("hash", "order_id")) - 1
+    placed = placed.withColumn("slot", slot.cast("long"))
     if per > 1:
-        counts, _ = table(ranged.groupBy("range").agg(F.count("*").alias("n")), "range-counts")
-        w = Window.partitionBy(F.floor(F.col("range") / per)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        before = counts.select("range", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-        placed = placed.join(before, "range").withColumn("slot", F.col("slot") + F.col("before")).drop("before")
-    return placed.drop("hash", "range")
+        on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in RANGE]
+        placed = placed.join(_few(counts), on).withColumn("slot", F.col("slot") + F.col("before"))
+    return placed.select("row.*", "size", "text_crc32", "shard", "slot")
