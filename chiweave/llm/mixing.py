@@ -34,8 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     every = Window.partitionBy(F.lit(1))
     # Sources fill up in the order of most / weight; the level is set by those that do not.
     up = every.orderBy(F.col("most") / F.col("weight"), "sid")
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    before = lambda c: F.coalesce(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    per = per.withColumn("level", (F.sum("source_size").over(every) - before("most")) / (F.sum("weight").over(every) - before("weight")))
     open_ = F.col("level") * F.col("weight") <= F.col("most")
     per = per.withColumn("final", F.max(F.when(open_, F.col("level"))).over(every))
     return per.select("source", "sid", "source_size", F.least("most", F.coalesce(F.col("final") * F.col("weight"), F.col("most"))).alias("target"))
@@ -81,21 +81,23 @@ def tilts(hist: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-7
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3) -> DataFrame:
     """Adds size, source_size, target, rate and copies (0 to ``cap``) to every row of
-    ``df`` (doc_id, text, source, and any others, which are carried along).
+    ``df`` (doc_id, text, source, and any others, which are carried along under their
+    names; columns named like the added ones are replaced).
 
     Sources are ordered by code point, null last, and weigh ``weights``, repeating. The
     draw depends on doc_id and size only, so reruns agree and rows that repeat a doc_id
-    and size share one number of copies. A null or empty text has size 0; an empty
-    table gives no row.
+    and size share one number of copies. A null or empty text has size 0; a very long
+    one is counted whole, and where it is most of its source the target is missed by half
+    of it at most; an empty table gives no row.
     """
-    clash = [c for c in df.columns if c in ("size", "sid", "key", "class", "source_size", "target", "tilt", "scale", "rate", "copies", "edge", "chosen")]
-    df = df.drop(*clash)
+    added = ("size", "source_size", "target", "rate", "copies")
+    carried = [c for c in df.columns if c not in added]
     size = n_words(F.col("text"))
-    slim, _ = table(df.select("doc_id", "source", size.alias("size")), "sizes")
+    slim, slim_path = table(df.select("doc_id", "source", size.alias("size")), "sizes")
     goals, _ = table(targets(slim, weights, cap), "targets")
     ided = slim.join(goals.select("source", "sid").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     keyed = ided.select("sid", "size", F.xxhash64("doc_id", "size").alias("key"), F.floor(F.log2(F.col("size") + 1)).cast("int").alias("class"))
-    keyed, _ = table(keyed, "keys")
+    keyed, keys_path = table(keyed, "keys")
     hist, _ = table(keyed.groupBy("sid", "size").agg(F.count("*").alias("n")), "histogram")
     state, _ = table(goals.join(tilts(hist, goals, cap), "sid"), "state")
 
@@ -125,7 +127,10 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int =
     settled, _ = table(settled.select("sid", "x.key", "x.settled"), "settled")
     if settled.count() <= 1_000_000:  # at most LAST a size class and source; 20 bytes each
         settled = F.broadcast(settled)
-    wide = df.withColumn("size", size).join(F.broadcast(state.withColumnRenamed("source", "s")) if state.count() <= 100_000 else state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    discard(df.sparkSession, slim_path, keys_path)
+    goal = state.withColumnRenamed("source", "s")
+    rows = df.select(F.struct(*carried).alias("row"), "doc_id", "source", size.alias("size"))  # no other names, so none can clash
+    wide = rows.join(F.broadcast(goal) if goal.count() <= 100_000 else goal, F.col("source").eqNullSafe(F.col("s")))
     wide = wide.withColumn("key", F.xxhash64("doc_id", "size")).withColumn("rate", _rate(cap)).join(settled, ["sid", "key"], "left")
     wide = wide.withColumn("copies", F.when(F.col("size") == 0, F.least(F.lit(cap), F.floor(F.col("rate") + u).cast("int"))).otherwise(F.coalesce("settled", drawn)))
-    return wide.drop("sid", "key", "tilt", "scale", "settled")
+    return wide.select("row.*", *added)
