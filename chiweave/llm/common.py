@@ -48,6 +48,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def mark() -> int:
+    """Where the list of scratch tables ends now; for ``discard_since``."""
+    return len(_scratch)
+
+
+def discard_since(spark: SparkSession, at: int, *keep: str) -> None:
+    """Deletes the scratch tables made since ``mark`` gave ``at``, but for ``keep``."""
+    discard(spark, *(path for _, path in _scratch[at:] if path not in keep))
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and
     what is read again is what an executor lost later cannot take along."""

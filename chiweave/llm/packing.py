@@ -1,13 +1,14 @@
-"""Best-fit packing of token sequences in bulk-synchronous supersteps.
-
-Documents become pieces of at most ``capacity`` tokens. Pieces and gaps are held as
-range-sorted runs, one per length class: every piece has a rank in its class (exact,
-from counts per partition). A superstep takes the next shorter class; its pieces sweep
-to their successor, the smallest gap that holds them; several pieces at one gap are
-resolved by rank; the gaps shrink; and the step repeats on what the class has left.
-As equal lengths are interchangeable, a whole run of ranks moves in one match, so the
-schedule of all steps has a few thousand matches whatever the number of documents, and
-each row finds its own match from its length and rank alone.
+"""Best-fit packing of token sequences, planned on counts of lengths.
+
+Documents become pieces of at most ``capacity`` tokens. The dealt method range-sorts
+documents and gaps, matches them by distributed successor sweeps, resolves conflicts by
+rank, updates the gaps and repeats. Here the sweeps run over runs instead of rows: pieces
+of one length are interchangeable, so pieces and gaps are held as one run per length, and
+a step moves the longest run left to its successor, the smallest gap that holds it; which
+of its pieces get there is decided by rank; the gaps shrink, and the next step begins. So
+the steps are a loop on the driver over at most ``capacity`` counts, whatever the number of
+documents, and there is no exchange per step: each row finds its own match from its length
+and its exact rank among the pieces of that length. The result equals best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -96,7 +97,8 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, k
     sequences have no gaps inside.
 
     Repeated rows are packed as often as they come; ties are broken by rank; a null
-    doc_id is kept; an empty table gives no row. What reaches the driver is a count per
+    doc_id is kept; a very long text is cut into as many pieces as it needs; columns other
+    than doc_id and text are not read; an empty table gives no row. What reaches the driver is a count per
     length, at most ``capacity`` of them; a class that holds most rows is ranked from
     counts per partition, never gathered.
     """

@@ -203,12 +203,8 @@ def quality_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``df`` that ``quality_rules`` keeps, unchanged. The statistics are
-    computed again where the rows are, which moves no text."""
-    stats, path = table(text_statistics(df.select("doc_id", "text")).drop("text"), "statistics")
-    rules = _rules_from(stats, labels)
-    discard(df.sparkSession, path)
-    full = text_statistics(df.select("text", F.struct(*df.columns).alias("row"))).drop("text")
-    # A generator is a barrier: a filter pushed below it would compute everything anew for each use.
-    once = full.select("row", F.explode(F.array(F.struct(*(c for c in full.columns if c != "row")))).alias("s")).select("row", "s.*")
-    return _with_verdict(once, rules).filter("kept").select("row.*")
+    """The rows of ``df`` that ``quality_rules`` keeps, unchanged. Rows are written once
+    with their statistics; learning reads these only, and the verdict filters the rows."""
+    rows = df.select("doc_id", "text", F.struct(*df.columns).alias("row"))
+    stats, _ = table(text_statistics(rows).drop("text"), "rows-with-statistics")
+    return _with_verdict(stats, _rules_from(stats.drop("row"), labels)).filter("kept").select("row.*")
