@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiweave.llm.common import table
+from chiweave.llm.common import discard_since, mark, table
 from chiweave.llm.mixing import mix
 from chiweave.llm.near_duplicates import one_of_each
 from chiweave.llm.packing import pack
@@ -53,9 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Nulls, empty and very long texts, repeated rows and
+    further columns are handled as each stage's operator says; stages before the last carry
+    every column along; an empty table gives no row. What a stage wrote on its way is
+    deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs, _ = table(docs, "stage-" + name.replace(" ", "-"))
+            docs, path = table(docs, "stage-" + name.replace(" ", "-"))
+            discard_since(spark, before, path)
     return docs
