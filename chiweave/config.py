@@ -38,7 +38,7 @@ class SpectrumConfig:
     window: str = "hanning"
     nfft: int | None = None
     kstep: float | None = None
-    parallel: bool = False
+    parallel: bool = True  # False keeps all frames in one task
     n_workers: int | None = None
     sample_interval: int = 1
     force_recalculate: bool = False

@@ -30,6 +30,12 @@ def all_numeric(line: Column, n: int) -> Column:
     return (F.size(xs) == n) & F.forall(xs, lambda x: x.isNotNull())
 
 
+def numeric_line(n: int) -> str:
+    """The pattern of a line of exactly ``n`` numbers."""
+    number = r"[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|(?i:nan|inf|infinity))"
+    return rf"^\s*{number}(?:\s+{number}){{{n - 1}}}\s*$"
+
+
 def symbol(text: Column) -> Column:
     return F.initcap(F.trim(text))
 

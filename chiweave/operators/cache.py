@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hit_rate
+from ..sources.files import stored
 
 
 def split(wanted: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
@@ -53,11 +54,13 @@ class ResultCache:
             rows.select("cache_key", "k", "chi").dropDuplicates(["cache_key"]).write.mode("append").parquet(self.path)
 
     def through(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
-        """Cached rows, and the others computed (cache_key, ..., k, chi, error) and stored."""
+        """Cached rows, and the others computed (cache_key, ..., k, chi, error) and stored.
+        What is computed is written once and read back, so no later step, and no lost
+        executor, makes the solver run again."""
         if not self.path:
-            return compute(wanted)
+            return stored(compute(wanted))
         hits, misses = split(wanted, self.read())
-        fresh = compute(wanted if force else misses).persist()
+        fresh = stored(compute(wanted if force else misses), f"{self.path}/_runs")  # the cache's reader passes over it
         self.store(fresh.filter("error IS NULL"))
         return fresh if force else hits.withColumn("error", F.lit(None).cast("string")).select(*fresh.columns).unionByName(fresh)
 

@@ -17,16 +17,18 @@ from ..functions import numeric as N
 FT = "m int, r double, chir_re double, chir_im double, chir_mag double, chir_pha double"
 
 
-def interpolate(knots: DataFrame, grid: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by, x, y) at every grid point: linear between knots, 0 outside them; knots of
-    equal x count as their mean. One sort of each series, no join of knots with points."""
-    mean = knots.groupBy(*by, x).agg(F.avg(y).alias("_y"))
-    both = mean.select(*by, x, "_y", F.lit(False).alias("_g")).unionByName(grid.select(*by, x, F.lit(None).cast("double").alias("_y"), F.lit(True).alias("_g")))
-    w = Window.partitionBy(*by).orderBy(x)
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("_y").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
-    out = both.withColumn("_a", F.last(at, ignorenulls=True).over(back)).withColumn("_b", F.first(at, ignorenulls=True).over(ahead)).filter("_g")
-    return out.select(*by, x, N.lerp(F.col(x), F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y")).alias(y))
+def interpolate(knots: DataFrame, grid: DataFrame, by: Sequence[str], x: str = "x", y: str | Sequence[str] = "y") -> DataFrame:
+    """(by, x, y...) at every grid point: linear between knots, 0 outside them; knots of
+    equal x count as their mean. Two sorts of each series, one a direction, and no join of
+    knots with points; the work grows with the knots and points, whatever their order."""
+    ys = [y] if isinstance(y, str) else list(y)
+    mean = knots.groupBy(*by, x).agg(*(F.avg(c).alias(c) for c in ys))
+    knot = F.struct(F.col(x).alias("_x"), *(F.col(c) for c in ys))
+    both = mean.select(*by, x, knot.alias("_k")).withColumn("_g", F.lit(False)).unionByName(grid.select(*by, x).withColumn("_g", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(*by)
+    seen = lambda order: F.last("_k", ignorenulls=True).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_a", seen(F.asc(x))).withColumn("_b", seen(F.desc(x))).filter("_g")
+    return out.select(*by, x, *(N.lerp(F.col(x), F.col("_a._x"), F.col(f"_a.{c}"), F.col("_b._x"), F.col(f"_b.{c}")).alias(c) for c in ys))
 
 
 def reference_grid(spectra: DataFrame) -> DataFrame:
@@ -59,6 +61,26 @@ def envelope(avg: DataFrame, weight: int) -> DataFrame:
     return avg.select("traj_id", "k_idx", "k", chi.alias("chi_w"), std.alias("std_w"), (chi - std).alias("low"), (chi + std).alias("high"))
 
 
+def first_step(points: DataFrame) -> float | None:
+    """The distance of a grid's first two points, the least over the series."""
+    at = lambda i: F.min(F.when(F.col("k_idx") == i, F.col("k")))
+    return points.groupBy("traj_id").agg((at(1) - at(0)).alias("step")).filter("step > 0").agg(F.min("step")).collect()[0][0]
+
+
+def on_grid(points: DataFrame, kstep: float, by: Sequence[str] = ("traj_id",)) -> tuple[DataFrame, int]:
+    """(by, k_idx, k, chi) on the transform's grid k = k_idx * kstep, and its number of
+    points: as they are where they lie on it, and else interpolated from 0 to the last
+    point, 0 below the first."""
+    off, last = points.agg(F.max(F.abs(F.col("k") - F.col("k_idx") * F.lit(kstep))), F.max("k")).collect()[0]
+    n = int(math.floor((last or 0.0) / kstep + 1e-6)) + 1
+    if off is None or off <= 1e-9 * max(1.0, last):
+        return points.select(*by, "k_idx", "k", "chi"), n
+    ends = points.groupBy(*by).agg(F.floor(F.max("k") / F.lit(kstep) + 1e-6).cast("int").alias("_n"))
+    grid = ends.select(*by, F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k_idx")).withColumn("k", F.col("k_idx") * F.lit(kstep))
+    moved = interpolate(points, grid, by, "k", "chi")
+    return moved.select(*by, F.round(F.col("k") / F.lit(kstep)).cast("int").alias("k_idx"), "k", "chi"), n
+
+
 def n_radii(config: SpectrumConfig) -> int:
     step = math.pi / ((config.kstep or KSTEP) * (config.nfft or NFFT))
     return min((config.nfft or NFFT) // 2, int(math.floor(config.rmax_out / step + 1e-9)) + 1)
@@ -110,7 +132,9 @@ def fourier_frames(df: DataFrame, config: SpectrumConfig) -> DataFrame:
                 for i, c in enumerate(g["chi"]):
                     x[i, : len(c)] = c
                 k = np.arange(n) * kstep
-                z = np.fft.fft(x * k**config.kweight * window_values(k, config), nfft)[:, :nr] * kstep / math.sqrt(math.pi)
+                x = x * k**config.kweight * window_values(k, config)
+                x = np.pad(x, ((0, 0), (0, -n % nfft))).reshape(len(g), -1, nfft).sum(1)  # phases repeat after nfft points
+                z = np.fft.fft(x)[:, :nr] * kstep / math.sqrt(math.pi)
                 m = np.tile(np.arange(nr), len(g))
                 yield pd.DataFrame({"traj_id": np.repeat(g["traj_id"].to_numpy(), nr), "frame_idx": np.repeat(g["frame_idx"].to_numpy(), nr), "m": m, "r": m * math.pi / (kstep * nfft), "chir_re": z.real.ravel(), "chir_im": z.imag.ravel(), "chir_mag": np.abs(z).ravel(), "chir_pha": np.angle(z).ravel()})
 
@@ -124,12 +148,10 @@ def path_sum(rows: DataFrame, paths: DataFrame, k: Sequence[float], s02: float =
     spark = rows.sparkSession
     grid = spark.createDataFrame([(i, float(x)) for i, x in enumerate(k)], "k_idx int, x double")
     by = ["dir", "path_id"]
-    points = paths.select(*by).distinct().join(F.broadcast(grid))
-    out = points
-    for name in ("real2phc", "mag", "phase", "red", "lambda"):
-        knots = rows.select(*by, F.col("k").alias("x"), F.col(name).alias("y"))
-        out = out.join(interpolate(knots, points.select(*by, "x"), by).withColumnRenamed("y", name), [*by, "x"])
-    out = out.join(paths.select(*by, "deg", "reff"), by)
+    columns = ["real2phc", "mag", "phase", "red", "lambda"]
+    points = paths.select(*by).distinct().join(F.broadcast(grid))  # the caller's points, one row each
+    at = interpolate(rows.withColumnRenamed("k", "x"), points, by, "x", columns)
+    out = points.join(at, [*by, "x"]).join(paths.select(*by, "deg", "reff"), by)
     x, r = F.col("x"), F.col("reff")
     term = F.lit(s02) * F.col("deg") * F.col("mag") * F.col("red") / (x * r * r) * F.exp(-2 * r / F.col("lambda")) * F.sin(2 * x * r + F.col("real2phc") + F.col("phase"))
     return out.groupBy("dir", "k_idx").agg(F.min("x").alias("k"), F.sum(F.when(x > 0, term).otherwise(0.0)).alias("chi"))

@@ -12,6 +12,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Spectra of the embeddings: a vector is chi(k) of a frame, its label the trajectory.
 SPECTRA = "spectra AS (SELECT label AS traj_id, vec_id AS frame_idx, i AS k_idx, CAST(i AS DOUBLE) * 0.05e0 AS k, CAST(embedding[i + 1] AS DOUBLE) AS chi FROM embeddings, (SELECT CAST(unnest(range(64)) AS INTEGER) AS i))"
+#: Their mean and spread over the frames of a trajectory.
+MEAN = f"WITH {SPECTRA}, mean AS (SELECT traj_id, k_idx, min(k) AS k, avg(chi) AS chi, stddev_pop(chi) AS chi_std, count(*) AS nframes FROM spectra GROUP BY ALL)"
 #: Atoms: the first three components of a vector are an atom of its label's structure.
 ATOMS = "atoms AS (SELECT label AS s, vec_id AS atom_id, CAST(vec_id % 2 + 1 AS INTEGER) AS type, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 

@@ -11,10 +11,9 @@ from ..config import SpectrumConfig
 from ..functions import numeric as N
 from ..operators import sampling as S
 from ..operators import spectra as X
-from .registry import SPECTRA, Tables, query, r6
+from .registry import MEAN, SPECTRA, Tables, query, r6
 
 FT = SpectrumConfig(kmin=0.5, kmax=2.5, dk=0.5, kweight=2)
-MEAN = f"WITH {SPECTRA}, mean AS (SELECT traj_id, k_idx, min(k) AS k, avg(chi) AS chi, stddev_pop(chi) AS chi_std, count(*) AS nframes FROM spectra GROUP BY ALL)"
 
 
 def _window_sql(shape: str, c: SpectrumConfig = FT) -> str:
@@ -41,9 +40,9 @@ def _(t: Tables) -> DataFrame:
     return S.every_nth(t.spectra(), 7).select("traj_id", "frame_idx", "k_idx", "chi")
 
 
-@query("f2_last_frame", "SELECT label AS traj_id, vec_id AS frame_idx, CAST(embedding[1] AS DOUBLE) AS chi0 FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1")
+@query("f2_last_frame", f"WITH {SPECTRA} SELECT traj_id, frame_idx, k_idx, round(chi, 6) + 0.0 AS chi FROM spectra JOIN (SELECT label AS traj_id, max(vec_id) AS frame_idx FROM embeddings GROUP BY label) USING (traj_id, frame_idx)")
 def _(t: Tables) -> DataFrame:
-    return S.frame_at(t.arrays(), -1, ["traj_id"]).select("traj_id", "frame_idx", F.get("chi", F.lit(0)).alias("chi0"))
+    return S.frame_at(t.spectra(), -1, ["traj_id"]).select("traj_id", "frame_idx", "k_idx", r6("chi").alias("chi"))
 
 
 @query("f2_third_from_end", "SELECT conv_id, turn, role FROM conversations QUALIFY dense_rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 3")
@@ -84,11 +83,11 @@ def _(t: Tables) -> DataFrame:
     return S.without_leading_zero(t.spectra()).select("traj_id", "frame_idx", "k_idx", "k", "chi")
 
 
-@query("f13_equal_grid", "SELECT e.label AS traj_id, e.vec_id AS frame_idx, e.embedding[1:8] = r.ref[1:8] AS same FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label) r ON e.label = r.label")
+@query("f13_equal_grid", "SELECT e.label AS traj_id, e.vec_id AS frame_idx, e.embedding = r.ref AS same FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label) r ON e.label = r.label")
 def _(t: Tables) -> DataFrame:
     e = t.embeddings
     ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
-    return e.join(ref, "label").select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame_idx"), N.same_grid(F.slice("embedding", 1, 8), F.slice("ref", 1, 8)).alias("same"))
+    return e.join(ref, "label").select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame_idx"), N.same_grid(F.col("embedding"), F.col("ref")).alias("same"))
 
 
 @query("f14_compatible_grid", "SELECT e.label AS traj_id, e.vec_id AS frame_idx, len(list_filter(range(1, 65), lambda i: abs(CAST(e.embedding[i] AS DOUBLE) - CAST(r.ref[i] AS DOUBLE)) > 0.7e0)) = 0 AS compatible FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label) r ON e.label = r.label")
@@ -127,7 +126,7 @@ def _(t: Tables) -> DataFrame:
     return g.withColumn("rate", F.round(N.hit_rate(F.col("hits"), F.col("misses")), 6))
 
 
-_KNOTS = "knots AS (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS x, avg(value) AS y FROM events GROUP BY ALL), bounds AS (SELECT floor(min(x)) AS x0, floor(max(x)) AS x1 FROM knots), grid AS (SELECT u.user_id, x0 + i * 3600.0e0 AS x FROM (SELECT DISTINCT user_id FROM events) u, bounds, (SELECT unnest(range(2000)) AS i) WHERE x0 + i * 3600.0e0 <= x1)"
+_KNOTS = "knots AS (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS x, avg(value) AS y FROM events GROUP BY ALL), bounds AS (SELECT floor(min(x)) AS x0, floor(max(x)) AS x1 FROM knots), grid AS (SELECT u.user_id, x0 + i * 3600.0e0 AS x FROM (SELECT DISTINCT user_id FROM events) u, bounds, (SELECT unnest(range(CAST(floor((x1 - x0) / 3600) AS BIGINT) + 1)) AS i FROM bounds))"
 
 
 @query(
@@ -140,16 +139,37 @@ def _(t: Tables) -> DataFrame:
     x = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     e = t.events.select("user_id", x.alias("x"), F.col("value").alias("y"))
     span = e.agg(F.floor(F.min("x")).cast("double").alias("x0"), F.floor(F.max("x")).cast("double").alias("x1"))  # one row
-    points = span.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.col("x0") + i * F.lit(3600.0))).alias("x"), "x1").filter("x <= x1").select("x")
-    grid = e.select("user_id").distinct().join(F.broadcast(points))  # 2000 points a user
+    hours = F.floor((F.col("x1") - F.col("x0")) / 3600.0).cast("int")
+    points = span.select(F.transform(F.sequence(F.lit(0), hours), lambda i: F.col("x0") + i * F.lit(3600.0)).alias("xs"))
+    grid = e.select("user_id").distinct().join(F.broadcast(points)).select("user_id", F.explode("xs").alias("x"))  # one row of the span's hours
     return X.interpolate(e, grid, ["user_id"]).select("user_id", "x", r6("y").alias("y"))
 
 
-@query("j2_reference_grid", "SELECT e.label AS traj_id, e.vec_id AS frame_idx, r.first AS ref_frame, CAST(r.ref[3] AS DOUBLE) AS ref3 FROM embeddings e JOIN (SELECT label, min(vec_id) AS first, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label) r ON e.label = r.label")
+#: Frames on grids of their own: k = i * step, the step set by the frame's number.
+_OWN = "own AS (SELECT label AS traj_id, vec_id AS frame_idx, i AS k_idx, CAST(i AS DOUBLE) * (0.04e0 + (vec_id % 3) * 0.01e0) AS k, CAST(embedding[i + 1] AS DOUBLE) AS chi FROM embeddings, (SELECT CAST(unnest(range(64)) AS INTEGER) AS i))"
+
+
+def _own(t: Tables) -> DataFrame:
+    step = F.lit(0.04) + (F.col("vec_id") % 3) * F.lit(0.01)
+    k = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("double") * step)
+    return t.embeddings.select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame_idx"), k.alias("k"), F.col("embedding").cast("array<double>").alias("chi"))
+
+
+@query("j2_reference_grid", f"WITH {_OWN} SELECT traj_id, k_idx, round(k, 6) + 0.0 AS k FROM own JOIN (SELECT label AS traj_id, min(vec_id) AS frame_idx FROM embeddings GROUP BY label) USING (traj_id, frame_idx)")
+def _(t: Tables) -> DataFrame:
+    return X.reference_grid(_own(t)).select("traj_id", F.posexplode("k_ref").alias("k_idx", "k")).select("traj_id", "k_idx", r6("k").alias("k"))
+
+
+@query(
+    "j2_j1_aligned_to_reference",
+    f"""WITH {_OWN}, ref AS (SELECT label AS traj_id, min(vec_id) AS first FROM embeddings GROUP BY label),
+      g AS (SELECT f.traj_id, f.frame_idx, r.k_idx, r.k AS x FROM (SELECT DISTINCT traj_id, frame_idx FROM own) f JOIN ref USING (traj_id) JOIN own r ON r.traj_id = f.traj_id AND r.frame_idx = ref.first),
+      a AS (SELECT g.*, k.k AS xa, k.chi AS ya FROM g ASOF LEFT JOIN own k ON g.traj_id = k.traj_id AND g.frame_idx = k.frame_idx AND g.x >= k.k),
+      b AS (SELECT g.*, k.k AS xb, k.chi AS yb FROM g ASOF LEFT JOIN own k ON g.traj_id = k.traj_id AND g.frame_idx = k.frame_idx AND g.x <= k.k)
+      SELECT traj_id, frame_idx, k_idx, round(CASE WHEN xa IS NULL OR xb IS NULL THEN 0.0e0 WHEN xa = xb THEN ya ELSE ya + (yb - ya) * (x - xa) / (xb - xa) END, 6) + 0.0 AS chi FROM a JOIN b USING (traj_id, frame_idx, k_idx, x)""",
+)
 def _(t: Tables) -> DataFrame:
-    a = t.arrays()
-    ref = a.groupBy("traj_id").agg(F.min("frame_idx").alias("ref_frame"), F.get(F.min_by("chi", "frame_idx"), F.lit(2)).alias("ref3"))
-    return a.select("traj_id", "frame_idx").join(ref, "traj_id")
+    return X.aligned(_own(t)).select("traj_id", "frame_idx", "k_idx", r6("chi").alias("chi"))
 
 
 @query("a1_mean_spectrum", f"{MEAN} SELECT traj_id, k_idx, k, round(chi, 6) + 0.0 AS chi FROM mean")
@@ -172,6 +192,21 @@ def _(t: Tables) -> DataFrame:
     return X.fourier_frames(t.arrays(), FT).select("traj_id", "frame_idx", "m", *(r6(c).alias(c) for c in ("r", "chir_re", "chir_im", "chir_mag")))
 
 
+@query(
+    "a6_fourier_of_shifted_grid",
+    f"""WITH mean0 AS (SELECT label AS traj_id, i, 0.3e0 + CAST(i AS DOUBLE) * 0.06e0 AS k, avg(CAST(embedding[i + 1] AS DOUBLE)) AS chi FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
+      g AS (SELECT traj_id, CAST(n AS INTEGER) AS k_idx, n * 0.05e0 AS x FROM (SELECT DISTINCT traj_id FROM mean0), (SELECT unnest(range(82)) AS n)),
+      a AS (SELECT g.*, m.k AS xa, m.chi AS ya FROM g ASOF LEFT JOIN mean0 m ON g.traj_id = m.traj_id AND g.x >= m.k),
+      b AS (SELECT g.*, m.k AS xb, m.chi AS yb FROM g ASOF LEFT JOIN mean0 m ON g.traj_id = m.traj_id AND g.x <= m.k),
+      mean AS (SELECT traj_id, k_idx, x AS k, CASE WHEN xa IS NULL OR xb IS NULL THEN 0.0e0 WHEN xa = xb THEN ya ELSE ya + (yb - ya) * (x - xa) / (xb - xa) END AS chi FROM a JOIN b USING (traj_id, k_idx, x)),
+      {_ft_sql('mean', 'traj_id').replace('range(64)', 'range(82)')}""",
+)
+def _(t: Tables) -> DataFrame:
+    moved = X.average(t.spectra().withColumn("k", F.lit(0.3) + F.col("k_idx") * F.lit(0.06)))
+    straight, n = X.on_grid(moved, 0.05)
+    return X.fourier(straight, FT, n).select("traj_id", "m", *(r6(c).alias(c) for c in ("r", "chir_re", "chir_im", "chir_mag")))
+
+
 @query("a11_cache_counters", "SELECT count(*) FILTER (l.l_orderkey IS NOT NULL) AS hits, count(*) FILTER (l.l_orderkey IS NULL) AS misses FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25) l ON l.l_orderkey = o_orderkey")
 def _(t: Tables) -> DataFrame:
     from ..operators.cache import counters
@@ -214,7 +249,15 @@ def _(t: Tables) -> DataFrame:
     return g.select("i", *(r6(N.ft_window(F.col("k"), w, FT.kmin, FT.kmax, FT.dk)).alias(w) for w in _WINDOWS))
 
 
-@query("x15_kaiser_window")
+def _i0_sql(x: str) -> str:
+    """The series of the Bessel function I0, 31 terms."""
+    return "(1.0e0" + "".join(f" + pow(({x}) / 2, {2 * i}) / {math.factorial(i) ** 2}.0e0" for i in range(1, 32)) + ")"
+
+
+_MID, _HALF = (FT.kmin + FT.kmax) / 2, (FT.kmax - FT.kmin) / 2
+
+
+@query("x15_kaiser_window", f"WITH g AS (SELECT CAST(i AS INTEGER) AS i, 1.0e0 - pow((i * 0.01e0 - {_MID}e0) / {_HALF}e0, 2) AS u FROM (SELECT unnest(range(350)) AS i)) SELECT i, round(CASE WHEN u >= 0 THEN ({_i0_sql(f'{FT.dk}e0 * sqrt(greatest(u, 0.0e0))')} - 1.0e0) / ({_i0_sql(f'{FT.dk}e0')} - 1.0e0) ELSE 0.0e0 END, 6) + 0.0 AS kaiser FROM g")
 def _(t: Tables) -> DataFrame:
     g = t.spark.range(350).select(F.col("id").cast("int").alias("i"), (F.col("id").cast("double") * F.lit(0.01)).alias("k"))
     return g.select("i", r6(N.ft_window(F.col("k"), "kaiser", FT.kmin, FT.kmax, FT.dk)).alias("kaiser"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SpectrumConfig
 from ..functions import numeric as N
 from ..operators import sampling as S
 from ..operators import structure as A
+from ..sources import structures as W
+from ..sources import text as R
+from .inputs import solver_inputs
 from .registry import ATOMS, Tables, query, r6
 
 CENTRED = f"WITH {ATOMS}, c AS (SELECT s, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM atoms GROUP BY s), d AS (SELECT a.*, x - cx AS dx, y - cy AS dy, z - cz AS dz, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS dist FROM atoms a JOIN c ON a.s = c.s)"
@@ -15,6 +19,13 @@ PAIRS = f"WITH {ATOMS}, p AS (SELECT a.s, a.atom_id AS centre_id, b.atom_id, a.t
 SPECIES = ("Ag", "Au")
 
 
+def _named(t: Tables) -> DataFrame:
+    return t.atoms().withColumn("symbol", A.species_of(F.col("type"), SPECIES))
+
+
+NAMED = f"WITH {ATOMS}, named AS (SELECT *, CASE type WHEN 1 THEN 'Ag' ELSE 'Au' END AS symbol FROM atoms)"
+
+
 @query("f10_core_shell", f"{CENTRED} SELECT s, atom_id, CASE WHEN dist < 0.2e0 THEN 2 ELSE 1 END AS side FROM d")
 def _(t: Tables) -> DataFrame:
     return A.from_centre(t.atoms(), ["s"]).select("s", "atom_id", A.core_shell(F.col("dist"), 0.2).alias("side"))
@@ -40,10 +51,11 @@ def _(t: Tables) -> DataFrame:
 
 
 
-@query("f16_u3_equal_id_sets", "SELECT conv_id, list_sort(list_distinct(string_split(arg_min(role, turn), 's'))) = list_sort(list_distinct(string_split(arg_max(role, turn), 's'))) AS same FROM conversations GROUP BY conv_id")
+@query("f16_u3_equal_id_sets", """WITH a AS (SELECT o_custkey, o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey), e AS (SELECT o_custkey, min(o_orderkey) AS f, max(o_orderkey) AS l FROM a GROUP BY o_custkey)
+  SELECT o_custkey, list_sort(list(l_linenumber) FILTER (o_orderkey = f)) = list_sort(list(l_linenumber) FILTER (o_orderkey = l)) AS same FROM a JOIN e USING (o_custkey) GROUP BY o_custkey""")
 def _(t: Tables) -> DataFrame:
-    ids = lambda f: F.array_sort(F.array_distinct(F.split(f("role", "turn"), "s")))
-    return t.conversations.groupBy("conv_id").agg((ids(F.min_by) == ids(F.max_by)).alias("same"))
+    both = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    return S.equal_id_sets(both, ["o_custkey"], "o_orderkey", "l_linenumber")
 
 
 @query("j3_p4_species_lookup", "SELECT n_nationkey, n_name, CASE n_regionkey + 1 WHEN 1 THEN 'Ag' WHEN 2 THEN 'Au' END AS species FROM nation")
@@ -107,14 +119,9 @@ def _(t: Tables) -> DataFrame:
     return A.from_centre(t.atoms(), ["s"]).groupBy("s", A.core_shell(F.col("dist"), 0.2).alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("a9_f9_largest_displacement", "SELECT c_mktsegment, max(c_acctbal) AS largest, arg_max(c_custkey, c_acctbal) AS species, bool_or(c_acctbal > 9990.0e0) AS drifting FROM customer GROUP BY c_mktsegment")
+@query("a12_composition", f"WITH {ATOMS}, n AS (SELECT s, CASE type WHEN 1 THEN 'Ag' ELSE 'Au' END AS symbol, count(*) AS n FROM atoms GROUP BY ALL) SELECT s, symbol, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY s), 6) AS share FROM n")
 def _(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("largest"), F.max_by("c_custkey", "c_acctbal").alias("species"), F.bool_or(F.col("c_acctbal") > 9990.0).alias("drifting"))
-
-
-@query("a12_composition", "SELECT p_brand, count(*) AS n, count(*) FILTER (p_type = 'ECONOMY') AS economy, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand")
-def _(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_type") == "ECONOMY").alias("economy"), F.countDistinct("p_type").alias("kinds"))
+    return A.composition(_named(t), ["s"]).select("s", "symbol", "n", r6("share").alias("share"))
 
 
 @query("l1_sorted_by_id", f"WITH {ATOMS} SELECT s, atom_id, row_number() OVER (PARTITION BY s ORDER BY atom_id) AS place FROM atoms")
@@ -143,22 +150,84 @@ def _(t: Tables) -> DataFrame:
     return t.atoms().select("s", "atom_id", *((F.bround(F.col(c), 6) + F.lit(0.0)).alias(c) for c in ("x", "y", "z")))
 
 
-@query("s16_lattice_cluster")
+#: Sites of an fcc lattice of edge 4.08 in 13 cells a side.
+_FCC = "fcc AS (SELECT (i + a) * 4.08e0 AS x, (j + b) * 4.08e0 AS y, (k + c) * 4.08e0 AS z FROM (SELECT unnest(range(-6, 7)) AS i), (SELECT unnest(range(-6, 7)) AS j), (SELECT unnest(range(-6, 7)) AS k), (VALUES (0.0e0, 0.0e0, 0.0e0), (0.5e0, 0.5e0, 0.0e0), (0.5e0, 0.0e0, 0.5e0), (0.0e0, 0.5e0, 0.5e0)) AS v(a, b, c))"
+
+
+@query("s16_lattice_cluster", f"WITH {_FCC} SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, 'Au' AS symbol FROM fcc WHERE sqrt(x * x + y * y + z * z) <= 8")
 def _(t: Tables) -> DataFrame:
-    return A.lattice_cluster(t.spark, "fcc", 4.08, 3, 8.0)
+    return A.lattice_cluster(t.spark, "fcc", 4.08, 3, 8.0).select(r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), "symbol")
 
 
-@query("k8_xyz_text", f"WITH {ATOMS} SELECT s, count(*) || chr(10) || chr(10) || string_agg('Au ' || printf('%.6f %.6f %.6f', x, y, z), chr(10) ORDER BY atom_id) AS text FROM atoms GROUP BY s")
+@query("s16_truncated_cluster", f"""WITH {_FCC}, kept AS (SELECT * FROM fcc WHERE greatest(abs(x), abs(y), abs(z)) <= 3 * 2.04e0 + 1e-6 AND (abs(x) + abs(y) + abs(z)) / sqrt(3) <= 4 * 4.08e0 / sqrt(3) + 1e-6)
+  SELECT round(x - min(x) OVER () + 5, 6) + 0.0 AS x, round(y - min(y) OVER () + 5, 6) + 0.0 AS y, round(z - min(z) OVER () + 5, 6) + 0.0 AS z, round(max(x) OVER () - min(x) OVER () + 10, 6) AS cell FROM kept""")
 def _(t: Tables) -> DataFrame:
-    from ..sources.structures import xyz_text
+    atoms, cell = A.truncated_cluster(t.spark, "fcc", 4.08, [(1, 0, 0), (1, 1, 1)], [3, 4], "Ag", vacuum=5.0, pbc=True)
+    return atoms.select(r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), r6(F.lit(cell[0])).alias("cell"))
 
-    return xyz_text(t.atoms().withColumn("symbol", F.lit("Au")), ["s"])
 
+@query("k8_xyz_text", f"{NAMED} SELECT s, count(*) || chr(10) || chr(10) || string_agg(symbol || ' ' || printf('%.6f %.6f %.6f', x, y, z), chr(10) ORDER BY atom_id) AS text FROM named GROUP BY s")
+def _(t: Tables) -> DataFrame:
+    return W.xyz_text(_named(t), ["s"])
+
+
+_SITES = f"{NAMED} SELECT CAST(s AS VARCHAR) AS file, symbol, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM named"
+
+
+def _read_back(texts: DataFrame, read) -> DataFrame:
+    """Structures written as text, read again: file, symbol and places."""
+    lines = texts.select(F.col("s").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return read(lines).select("file", "symbol", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
 
-@query("e2_e4_solver_inputs")
+
+@query("s1_k8_extxyz_frames", f"{NAMED} SELECT CAST(s AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY s ORDER BY atom_id) - 1 AS INTEGER) AS atom_id, symbol, round(x, 6) + 0.0 AS x, 9.0e0 AS cell_y FROM named")
 def _(t: Tables) -> DataFrame:
-    from ..config import SpectrumConfig
-    from .inputs import solver_inputs
+    texts = W.xyz_text(_named(t), ["s"], (8.0, 9.0, 10.0))
+    lines = texts.select(F.col("s").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return R.xyz(lines).select("file", "atom_id", "symbol", r6("x").alias("x"), F.get("cell", F.lit(4)).alias("cell_y"))
+
+
+@query("s1_k8_poscar_sites", _SITES)
+def _(t: Tables) -> DataFrame:
+    return _read_back(W.poscar_text(_named(t), ["s"], (8.0, 9.0, 10.0)), W.poscar)
+
 
-    named = t.atoms().withColumn("symbol", A.species_of(F.col("type"), ("Fe", "O")))
-    return solver_inputs(named, "Fe", SpectrumConfig(radius=0.4), ["s"])
+@query("s1_k6_cif_sites", f"{NAMED} SELECT CAST(s AS VARCHAR) AS file, symbol, count(*) AS n, round(sum(round(round_even(CASE WHEN x < 0 THEN 1 + x / 8 ELSE x / 8 END, 6) * 8, 6)), 4) AS total FROM named GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    back = _read_back(W.cif_text(_named(t), ["s"], (8.0, 9.0, 10.0)), W.cif)
+    return back.groupBy("file", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
+
+
+_CIF_HEAD = "data_structure\n_cell_length_a 8.000000\n_cell_length_b 9.000000\n_cell_length_c 10.000000\n_cell_angle_alpha 90\n_cell_angle_beta 90\n_cell_angle_gamma 90\n_symmetry_space_group_name_H-M ''P 1''\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n"
+
+
+def _scaled(c: str, n: int) -> str:
+    return f"round_even(CASE WHEN {c} < 0 THEN ({c} / {n}.0e0) % 1 + 1 ELSE ({c} / {n}.0e0) % 1 END, 6)"
+
+
+@query("k6_p5_cif_text", f"{NAMED} SELECT s, '{_CIF_HEAD}' || string_agg(symbol || atom_id || ' ' || symbol || ' ' || printf('%.6f %.6f %.6f', {_scaled('x', 8)}, {_scaled('y', 9)}, {_scaled('z', 10)}), chr(10) ORDER BY symbol, atom_id) AS text FROM named GROUP BY s")
+def _(t: Tables) -> DataFrame:
+    return W.cif_text(_named(t), ["s"], (8.0, 9.0, 10.0))
+
+
+@query("k7_lammps_data_text", f"{NAMED} SELECT s, 'structure' || chr(10) || chr(10) || count(*) || ' atoms' || chr(10) || '2 atom types' || chr(10) || '0.0 8.0 xlo xhi' || chr(10) || '0.0 9.0 ylo yhi' || chr(10) || '0.0 10.0 zlo zhi' || chr(10) || chr(10) || 'Atoms' || chr(10) || chr(10) || string_agg((atom_id + 1) || ' ' || type || ' ' || printf('%.6f %.6f %.6f', x, y, z), chr(10) ORDER BY atom_id) AS text FROM named GROUP BY s")
+def _(t: Tables) -> DataFrame:
+    return W.lammps_data_text(_named(t), ["s"], SPECIES, (8.0, 9.0, 10.0))
+
+
+@query("k8_poscar_text", f"{NAMED}, k AS (SELECT s, symbol, count(*) AS n FROM named GROUP BY ALL), h AS (SELECT s, string_agg(symbol, ' ' ORDER BY symbol) AS names, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY symbol) AS ns FROM k GROUP BY s) SELECT s, 'structure' || chr(10) || '1.0' || chr(10) || '8.0 0.0 0.0' || chr(10) || '0.0 9.0 0.0' || chr(10) || '0.0 0.0 10.0' || chr(10) || any_value(names) || chr(10) || any_value(ns) || chr(10) || 'Cartesian' || chr(10) || string_agg(printf('%.6f %.6f %.6f', x, y, z), chr(10) ORDER BY symbol, atom_id) AS text FROM named JOIN h USING (s) GROUP BY s")
+def _(t: Tables) -> DataFrame:
+    return W.poscar_text(_named(t), ["s"], (8.0, 9.0, 10.0))
+
+
+_CARDS = "EDGE      K\nS02       1.0\nEXCHANGE  0\nCONTROL   1 1 1 1 1 1\nPRINT     1 0 0 0 0 3\nEXAFS     20\nNLEG      6\nRPATH     0.4\n\nPOTENTIALS\n"
+
+
+@query("e2_k3_solver_inputs", f"""{NAMED}, o AS (SELECT * FROM named QUALIFY symbol = 'Ag' AND row_number() OVER (PARTITION BY s, symbol ORDER BY atom_id) = 1),
+  near AS (SELECT * FROM (SELECT a.s, a.atom_id, a.symbol, a.x - o.x AS x, a.y - o.y AS y, a.z - o.z AS z, sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) + (a.z - o.z) * (a.z - o.z)) AS dist FROM named a JOIN o ON a.s = o.s) WHERE dist <= 0.4e0),
+  kinds AS (SELECT s, list_sort(list(DISTINCT symbol)) AS kinds FROM near WHERE dist > 0 GROUP BY s),
+  placed AS (SELECT near.*, CASE symbol WHEN 'Ag' THEN 47 ELSE 79 END AS number, CASE WHEN dist = 0 THEN 0 ELSE list_position(kinds, symbol) END AS ipot FROM near LEFT JOIN kinds USING (s)),
+  pots AS (SELECT s, string_agg(printf('%6d%6d    %s', ipot, number, symbol), chr(10) ORDER BY ipot) AS pots FROM (SELECT DISTINCT s, ipot, number, symbol FROM placed) GROUP BY s)
+  SELECT s, '{_CARDS}' || any_value(pots) || chr(10) || chr(10) || 'ATOMS' || chr(10) || string_agg(printf('%10.5f%10.5f%10.5f%4d  %-4s%10.5f', x, y, z, ipot, symbol, dist), chr(10) ORDER BY dist, atom_id) || chr(10) || 'END' || chr(10) AS text FROM placed JOIN pots USING (s) GROUP BY s""")
+def _(t: Tables) -> DataFrame:
+    return solver_inputs(_named(t), "Ag", SpectrumConfig(radius=0.4), ["s"])

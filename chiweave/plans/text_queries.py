@@ -3,6 +3,9 @@ the oracle is the table itself), cards, keys, names, maps and casts."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,10 @@ from ..config import SpectrumConfig
 from ..functions import keys
 from ..functions import text as T
 from ..operators import cards as C
+from ..operators import spectra as X
+from ..sources import structures
 from ..sources import text as R
-from .registry import Tables, query, r6
+from .registry import MEAN, Tables, query, r6
 
 L = F.lit
 
@@ -63,13 +68,25 @@ def _(t: Tables) -> DataFrame:
     return R.rdf_long(R.rdf(_rdf_lines(t)))
 
 
-@query("s8_l5_msd_last_line", "SELECT CAST(l_orderkey AS VARCHAR) AS file, max(l_linenumber)::BIGINT AS timestep, arg_max(l_discount, n) AS msd_all, arg_max(l_tax, n) AS msd_ag, greatest(arg_max(l_discount, n), arg_max(l_tax, n), 0.03e0) > 0.05e0 AS drifting FROM (SELECT *, l_linenumber * 1000000000000000 + l_partkey * 100000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS n FROM lineitem) GROUP BY l_orderkey")
-def _(t: Tables) -> DataFrame:
+_MSD = "msd AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, max(l_linenumber)::BIGINT AS timestep, arg_max(l_discount, n) AS msd_all, arg_max(l_tax, n) AS msd_ag, 0.03e0 AS msd_au FROM (SELECT *, l_linenumber * 1000000000000000 + l_partkey * 100000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) AS n FROM lineitem) GROUP BY l_orderkey)"
+
+
+def _msd(t: Tables) -> DataFrame:
     line = F.concat_ws(" ", _s("l_linenumber"), _s("l_discount"), _s("l_tax"), L("0.03"))
     number = F.expr("l_linenumber * 1000000000000000 + l_partkey * 100000 + CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT)")
     rows = t.lineitem.select(_s("l_orderkey").alias("file"), number.alias("line_no"), line.alias("line"))
     notes = t.orders.select(_s("o_orderkey").alias("file"), L(1 << 60).alias("line_no"), L("# end").alias("line"))
-    return R.msd(rows.unionByName(notes), 0.05).select("file", "timestep", "msd_all", "msd_ag", "drifting")
+    return R.msd(rows.unionByName(notes), 0.05)
+
+
+@query("s8_l5_msd_last_line", f"WITH {_MSD} SELECT file, timestep, msd_all, msd_ag FROM msd")
+def _(t: Tables) -> DataFrame:
+    return _msd(t).select("file", "timestep", "msd_all", "msd_ag")
+
+
+@query("a9_f9_largest_displacement", f"WITH {_MSD} SELECT file, greatest(msd_all, msd_ag, msd_au) AS largest, CASE greatest(msd_all, msd_ag, msd_au) WHEN msd_au THEN 'au' WHEN msd_all THEN 'all' ELSE 'ag' END AS species, greatest(msd_all, msd_ag, msd_au) > 0.05e0 AS drifting FROM msd")
+def _(t: Tables) -> DataFrame:
+    return _msd(t).select("file", "largest", "species", "drifting")
 
 
 _NAMES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'feff' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '.dat' WHEN 1 THEN 'FEFF' || doc_id || '.DAT' WHEN 2 THEN 'log' || doc_id || '.dat' WHEN 3 THEN 'misc.dat' ELSE 'chi.dat' END AS name FROM documents"
@@ -98,7 +115,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("s18_options_from_text", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
+    return t.events.select("event_id", R.options(F.col("props"), "k long")["k"].alias("k"))
 
 
 def _cards(t: Tables) -> DataFrame:
@@ -180,10 +197,50 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.get(T.numbers(F.regexp_replace(raw, " ", "_")), L(0)).alias("v"))
 
 
-@query("k2_k9_saved_average", "SELECT label AS traj_id, printf('%.6f', avg(CAST(embedding[2] AS DOUBLE))) AS chi_mean FROM embeddings GROUP BY label")
+_SAVED = f"{MEAN}, saved AS (SELECT traj_id, k_idx, k, chi FROM mean)"
+
+
+@query("k2_k9_saved_average", f"{_SAVED} SELECT traj_id, '# k chi_mean' || chr(10) || string_agg(printf('%.6f %.6f', k, chi), chr(10) ORDER BY k_idx) AS text FROM saved GROUP BY traj_id")
 def _(t: Tables) -> DataFrame:
-    mean = F.avg(F.get("embedding", L(1)).cast("double"))
-    return t.embeddings.groupBy(F.col("label").alias("traj_id")).agg(F.format_string("%.6f", mean).alias("chi_mean"))
+    return R.two_columns(X.average(t.spectra()), "k", "chi", "k chi_mean", ["traj_id"])
+
+
+def _folder(t: Tables) -> str:
+    """A folder for files that a query writes and reads back: shared where the cluster
+    names one."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="chiweave-")
+
+
+@query("s9_s10_k1_chi_files", f"{_SAVED} SELECT traj_id AS frame_idx, k_idx, round(k, 6) + 0.0 AS k, round(chi, 6) + 0.0 AS chi FROM saved")
+def _(t: Tables) -> DataFrame:
+    at = _folder(t)
+    made = R.two_columns(X.average(t.spectra()), "k", "chi", "k chi", ["traj_id"])
+    structures.write_texts(made, at, F.concat(T.frame_name(F.col("traj_id")), L("/chi.dat")))
+    back = R.frame_spectra(t.spark, at).select(F.col("frame_idx").cast("int"), F.posexplode(F.arrays_zip("k", "chi")).alias("k_idx", "p"))
+    return back.select("frame_idx", "k_idx", r6("p.k").alias("k"), r6("p.chi").alias("chi"))
+
+
+@query("s3_dump_frames", "SELECT CAST(s_nationkey AS BIGINT) AS timestep, CAST(s_suppkey AS BIGINT) AS atom_id, CAST(s_suppkey % 2 + 1 AS INTEGER) AS type, s_acctbal AS xs, 0.25e0 AS zs FROM supplier")
+def _(t: Tables) -> DataFrame:
+    line = F.concat_ws(" ", _s("s_suppkey"), (F.col("s_suppkey") % 2 + 1).cast("string"), _s("s_acctbal"), L("0.5 0.25 0 0 0"))
+    frame = F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line"))))
+    head = F.concat(L("ITEM: TIMESTEP\n"), _s("s_nationkey"), L("\nITEM: NUMBER OF ATOMS\n"), F.col("n").cast("string"), L("\nITEM: ATOMS id type xs ys zs fx fy fz\n"))
+    frames = t.supplier.groupBy("s_nationkey").agg(frame.alias("a"), F.count("*").alias("n")).select("s_nationkey", F.concat(head, F.concat_ws("\n", F.transform("a", lambda r: r["line"]))).alias("text"))
+    at = _folder(t)
+    structures.write_texts(frames, at, F.format_string("part%04d.dump", "s_nationkey"))
+    return R.lammps_dump(t.spark, f"{at}/*.dump").select("timestep", "atom_id", "type", "xs", "zs")
+
+
+@query("e3_e4_method_settings", "SELECT * FROM (VALUES ('auto', 'CONTROL,EXAFS,EXCHANGE,NLEG,PRINT,RPATH,S02', '7'), ('larixite', 'CONTROL,EXAFS,EXCHANGE,NLEG,PRINT,RPATH,S02', '7'), ('pymatgen', 'CONTROL,EXAFS,EXCHANGE,NLEG,PRINT,RPATH,S02,SCF', '7')) AS v(method, tags, rpath)")
+def _(t: Tables) -> DataFrame:
+    from .inputs import settings
+
+    rows = []
+    for method in ("auto", "larixite", "pymatgen"):
+        cards = settings(SpectrumConfig(method=method, radius=7.0, user_tag_settings={"COREHOLE": "FSR"}))
+        rows.append((method, ",".join(sorted(cards)), cards["RPATH"]))
+    return t.spark.createDataFrame(rows, "method string, tags string, rpath string")
 
 
 @query("e1_runner_with_failures", "SELECT CAST(p_brand AS VARCHAR) AS traj_id, p_partkey AS frame_idx, CASE WHEN p_size > 40 THEN 'ValueError: too large' END AS error, CASE WHEN p_size <= 40 THEN p_size * 0.5e0 END AS chi1 FROM part")

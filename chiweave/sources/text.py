@@ -3,7 +3,11 @@ parser takes such lines, so text from any table can be parsed as well."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ProcessingError
@@ -16,6 +20,13 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
+def ordered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line of files of any size: ``line_no`` is its block's place and its order in
+    it, so lines sort as in the file though its blocks are read by different tasks."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), F.col("value").alias("line"))
+
+
 def data_lines(rows: DataFrame) -> DataFrame:
     """Without comments and blank lines."""
     return rows.filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
@@ -50,10 +61,12 @@ def first_frame_types(rows: DataFrame) -> DataFrame:
     the columns found by the header's names."""
     head = rows.filter(F.col("line").startswith("ITEM: ATOMS")).groupBy("file").agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("head"))
     ends = rows.filter(F.col("line").startswith("ITEM:")).join(head.select("file", "at"), "file").filter("line_no > at").groupBy("file").agg(F.min("line_no").alias("end"))
-    body = rows.join(head, "file").join(ends, "file", "left").filter((F.col("line_no") > F.col("at")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))) & (F.trim("line") != ""))
     names = F.slice(T.tokens(F.col("head")), 3, 1000)
-    at = lambda c: F.get(T.tokens(F.col("line")), F.array_position(names, F.lit(c)).cast("int") - 1)
-    return body.select("file", at("id").try_cast("long").alias("atom_id"), at("type").try_cast("int").alias("type"))
+    place = lambda c: F.array_position(names, F.lit(c)).cast("int") - 1
+    span = head.join(ends, "file", "left").select("file", "at", "end", place("id").alias("id_at"), place("type").alias("type_at"))
+    body = rows.join(span, "file").filter((F.col("line_no") > F.col("at")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))) & (F.trim("line") != ""))
+    t = F.split(F.trim("line"), r"\s+")
+    return body.select("file", F.get(t, F.col("id_at")).try_cast("long").alias("atom_id"), F.get(t, F.col("type_at")).try_cast("int").alias("type"))
 
 
 def lammps_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +106,12 @@ def run_info(rows: DataFrame) -> DataFrame:
 def rdf(rows: DataFrame, strict: bool = False) -> DataFrame:
     """(file, bin, r, g11, cn11, g12, cn12, g21, cn21, g22, cn22): lines of exactly ten
     numbers; others are skipped. ``strict`` raises where none is left."""
-    kept = data_lines(rows).filter(T.all_numeric(F.col("line"), 10)).withColumn("v", T.numbers(F.col("line")))
+    kept = data_lines(rows).filter(F.col("line").rlike(T.numeric_line(10)))
     if strict and kept.isEmpty():
         raise ProcessingError("no line of ten numbers")
+    t = F.split(F.trim("line"), r"\s+")
     names = ("r", "g11", "cn11", "g12", "cn12", "g21", "cn21", "g22", "cn22")
-    return kept.select("file", F.get("v", F.lit(0)).cast("int").alias("bin"), *(F.get("v", F.lit(i + 1)).alias(c) for i, c in enumerate(names)))
+    return kept.select("file", F.get(t, F.lit(0)).cast("double").cast("int").alias("bin"), *(F.get(t, F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(names)))
 
 
 def rdf_long(table: DataFrame, positive: bool = True) -> DataFrame:
@@ -147,17 +161,69 @@ def feff_atoms(rows: DataFrame) -> DataFrame:
     return out.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND ipot IS NOT NULL")
 
 
+_LATTICE = re.compile(r'Lattice\s*=\s*"([^"]*)"', re.I)
+_PROPERTIES = re.compile(r"Properties\s*=\s*(\S+)", re.I)
+_ATOM_LINES = "file string, frame_idx int, atom_id int, line string, symbol_at int, place_at int, cell array<double>"
+
+
+def _comment(line: str) -> tuple[int, int, list[float] | None]:
+    """Of a frame's comment: the columns of the symbol and of x, and the cell if it names one."""
+    symbol_at, place_at, at = 0, 1, 0
+    found = _PROPERTIES.search(line)
+    parts = found.group(1).strip('"').split(":") if found else []
+    for name, _, n in zip(parts[::3], parts[1::3], parts[2::3]):
+        if name in ("species", "pos") and n.isdigit():
+            symbol_at, place_at = (at, place_at) if name == "species" else (symbol_at, at)
+        at += int(n) if n.isdigit() else 1
+    cell = _LATTICE.search(line)
+    try:
+        values = [float(v) for v in cell.group(1).split()] if cell else []
+    except ValueError:
+        values = []
+    return symbol_at, place_at, values if len(values) == 9 else None
+
+
 def xyz(rows: DataFrame) -> DataFrame:
-    """(file, frame_idx, atom_id, symbol, x, y, z) of XYZ files of one or more frames. A
-    line of one whole number opens a frame; its comment line is passed over."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    t = T.tokens(F.col("line"))
-    opens = (F.size(t) == 1) & F.get(t, F.lit(0)).rlike(r"^\d+$")
-    marked = rows.withColumn("o", opens.cast("int")).withColumn("frame_idx", F.sum("o").over(w) - 1).withColumn("prior", F.lag("o", 1, 0).over(w))
-    atoms = marked.filter("o = 0 AND prior = 0 AND frame_idx >= 0").withColumn("t", t).filter("size(t) >= 4")
-    at = lambda i: F.get("t", F.lit(i)).try_cast("double")
-    number = F.row_number().over(Window.partitionBy("file", "frame_idx").orderBy("line_no")) - 1
-    return atoms.select("file", F.col("frame_idx").cast("int"), number.alias("atom_id"), F.get("t", F.lit(0)).alias("symbol"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
+    """(file, frame_idx, atom_id, symbol, x, y, z, cell) of XYZ and extended XYZ files of
+    one or more frames: a line with the number of atoms, a comment whatever it says, and
+    that many atoms. ``cell`` has the nine numbers of a Lattice, or is null. A file ends
+    where a count should stand and none does; blank lines between frames are passed over.
+
+    Lines of a file are walked in order, without holding them; what they say is parsed
+    afterwards, so only the walk is one task a file.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, frame, n, left, said = None, -1, 0, 0, (0, 1, None)
+        comes = "count"
+        for f in frames:
+            out = []
+            for file, line in zip(f["file"], f["line"]):
+                if file != at:
+                    at, frame, left, comes = file, -1, 0, "count"
+                if left:
+                    out.append((file, frame, n - left, line, *said))
+                    left -= 1
+                elif comes == "comment":
+                    said, left, comes = _comment(line), n, "count"
+                elif comes == "count" and line.strip():
+                    if line.strip().isdecimal():
+                        n, frame, comes = int(line), frame + 1, "comment"
+                    else:
+                        comes = "nothing"
+            yield pd.DataFrame(out, columns=["file", "frame_idx", "atom_id", "line", "symbol_at", "place_at", "cell"])
+
+    atoms = rows.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no").select("file", "line").mapInPandas(walk, _ATOM_LINES)
+    t = F.split(F.trim("line"), r"\s+")
+    place = lambda i: F.get(t, F.col("place_at") + i).try_cast("double")
+    return atoms.select("file", "frame_idx", "atom_id", F.get(t, F.col("symbol_at")).alias("symbol"), place(0).alias("x"), place(1).alias("y"), place(2).alias("z"), "cell")
+
+
+def two_columns(df: DataFrame, x: str, y: str, head: str, by: list[str] | None = None) -> DataFrame:
+    """(by, text): rows as a text file of two columns with six digits, in the order of x."""
+    line = F.format_string("%.6f %.6f", F.col(x), F.col(y))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(x).alias("at"), line.alias("line"))))
+    return df.groupBy(*(by or [])).agg(F.concat_ws("\n", F.lit(f"# {head}"), F.transform(rows, lambda r: r["line"])).alias("text"))
 
 
 def numbered_files(names: DataFrame, column: str = "name") -> DataFrame:
@@ -173,3 +239,9 @@ def literal_options(text: str, existing: dict | None = None) -> dict:
     except (ValueError, SyntaxError):
         return dict(existing or {})
     return {**(existing or {}), **found} if isinstance(found, dict) else dict(existing or {})
+
+
+def options(column: Column, fields: str) -> Column:
+    """The columnar reading of options: the named fields of a JSON object, all null where
+    the text is none."""
+    return F.from_json(column, fields, {"mode": "PERMISSIVE"})

@@ -150,3 +150,45 @@ def test_process_uses_the_cache_and_isolates_failures(spark, tmp_path):
     assert run.cache.info()["files"] == 0
     with pytest.raises(StructureError):
         run.process(str(xyz), "Cu", SpectrumConfig())
+
+
+def test_interpolation_of_one_long_series_is_linear_work(spark):
+    import time
+
+    n = 80_000
+    knots = spark.range(n).selectExpr("0 AS s", "id * 1.0D AS x", "sin(id * 0.01D) AS y", "cos(id * 0.01D) AS z")
+    grid = spark.range(n - 1).selectExpr("0 AS s", "id + 0.25D AS x")
+    start = time.time()
+    got = spectra.interpolate(knots, grid, ["s"], y=["y", "z"]).toPandas().sort_values("x")
+    assert time.time() - start < 30
+    i = np.arange(n)
+    for c, f in (("y", np.sin), ("z", np.cos)):
+        assert np.allclose(got[c], np.interp(np.arange(n - 1) + 0.25, i, f(i * 0.01)))
+
+
+def at_grid(spark, k, frames=2):
+    return spark.createDataFrame([("t", j, k.tolist(), np.sin(4 * k).tolist(), None) for j in range(frames)], "traj_id string, frame_idx long, k array<double>, chi array<double>, error string")
+
+
+def test_the_transform_follows_the_spectrums_own_grid(spark):
+    config = SpectrumConfig(kmin=2, kmax=12)
+    for k in (1 + 0.1 * np.arange(150), np.concatenate([[0, 0.1], np.cumsum(0.1 + 0.05 * np.sin(np.arange(150))) + 0.1])):
+        got = Analyzer(spark).analyse(at_grid(spark, k), config)
+        mean = got.transform.toPandas().sort_values("m")
+        assert abs(mean["r"][mean["chir_mag"].idxmax()] - 2.0) < 0.1  # chi = sin(2 k R), R = 2
+        step = k[1] - k[0]
+        grid = step * np.arange(int(np.floor(k.max() / step + 1e-6)) + 1)
+        x = np.interp(grid, k, np.sin(4 * k), left=0, right=0) * grid**2 * spectra.window_values(grid, config)
+        want = np.abs([(x * np.exp(-2j * np.pi * np.arange(len(grid)) * m / 2048)).sum() for m in mean["m"]]) * step / np.sqrt(np.pi)
+        assert np.allclose(mean["chir_mag"], want)
+        for _, f in got.frame_transforms.toPandas().groupby("frame_idx"):
+            assert np.allclose(f.sort_values("m")["chir_mag"], mean["chir_mag"])
+
+
+def test_a_spectrum_longer_than_the_transform(spark):
+    config = SpectrumConfig(kmin=0.5, kmax=3, nfft=32, kstep=0.05, rmax_out=20)
+    k = 0.05 * np.arange(81)
+    got = Analyzer(spark).analyse(at_grid(spark, k), config)
+    mean = got.transform.toPandas().sort_values("m")["chir_mag"].to_numpy()
+    for _, f in got.frame_transforms.toPandas().groupby("frame_idx"):
+        assert np.allclose(f.sort_values("m")["chir_mag"], mean)

@@ -36,10 +36,28 @@ def test_dump_reads_every_frame(spark, tmp_path):
 
 
 def test_xyz_frames(spark):
-    body = "2\nc\nFe 0 0 0\nO 1.5 0 0\n\n2\n7\nFe 0 0 1\nO 1.5 0 1\n"
+    body = "2\n0\nFe 0 0 0\nO 1.5 0 0\n\n2\n1\nFe 0 0 1\nO 1.5 0 1\n"  # comments that are whole numbers
     got = text.xyz(rows(spark, body)).orderBy("frame_idx", "atom_id").collect()
-    assert [(r["frame_idx"], r["symbol"], r["z"]) for r in got][0] == (0, "Fe", 0.0)
-    assert len(got) >= 3
+    assert [(r["frame_idx"], r["atom_id"], r["symbol"], r["x"], r["z"]) for r in got] == [(0, 0, "Fe", 0.0, 0.0), (0, 1, "O", 1.5, 0.0), (1, 0, "Fe", 0.0, 1.0), (1, 1, "O", 1.5, 1.0)]
+
+
+def test_extended_xyz_keeps_cell_and_columns(spark):
+    body = '1\nLattice="4 0 0 0 5 0 0 0 6" Properties=id:I:1:pos:R:3:species:S:1 pbc="T T T"\n9 1 2 3 Fe\n1\nplain\nO 1 2 3\nstray line\n1\nc\nFe 0 0 0'
+    got = text.xyz(rows(spark, body)).orderBy("frame_idx").collect()
+    assert [(r["symbol"], r["x"], r["z"], r["cell"]) for r in got] == [("Fe", 1.0, 3.0, [4, 0, 0, 0, 5, 0, 0, 0, 6]), ("O", 1.0, 3.0, None)]
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    body = "".join(f"3\nframe {i}\n" + "".join(f"Fe {i} {j} 0\n" for j in range(3)) for i in range(4000))
+    (tmp_path / "t.xyz").write_text(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        raw = text.ordered_lines(spark, str(tmp_path / "t.xyz"))
+        assert raw.rdd.getNumPartitions() > 4
+        got = text.xyz(raw).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["frame_idx"], r["atom_id"], r["x"], r["y"]) for r in got) == [(i, j, float(i), float(j)) for i in range(4000) for j in range(3)]
 
 
 def test_rdf_skips_what_is_no_row(spark):
@@ -111,6 +129,27 @@ def test_rigid_motion_has_no_displacement(spark):
     assert all(abs(r["msd"]) < 1e-12 for r in structure.mean_squared_displacement(df, ["s"]).collect())
 
 
+def test_truncated_clusters_have_the_known_sizes(spark):
+    # Cuboctahedra and octahedra of fcc; a bcc cube; and planes counted between lattice points.
+    assert structure.truncated_cluster(spark, "fcc", 4.0, [(1, 0, 0), (1, 1, 1)], [2, 2])[0].count() == 55
+    assert structure.truncated_cluster(spark, "fcc", 4.0, [(1, 1, 1)], [1])[0].count() == 13 + 6
+    assert structure.truncated_cluster(spark, "bcc", 3.0, [(1, 0, 0)], [2])[0].count() == 27 + 8
+    assert structure.plane_distance("fcc", 4.0, (1, 0, 0)) == 2.0 and structure.plane_distance("sc", 4.0, (1, 0, 0)) == 4.0
+    for bad in (dict(surfaces=[], layers=[]), dict(surfaces=[(1, 0, 0)], layers=[1], pbc=True)):
+        with pytest.raises(ValueError):
+            structure.truncated_cluster(spark, "fcc", 4.0, **bad)
+
+
+def test_slices_of_frames(spark):
+    from chiweave.operators import sampling
+
+    df = spark.range(10).withColumnRenamed("id", "frame_idx")
+    for index in (":", "::3", "2:", ":4", "-3:", ":-2", "-7:-1:2", "1:9:4", "5:2"):
+        want = list(range(10))[slice(*(int(p) if p else None for p in index.split(":")))]
+        assert sorted(r[0] for r in sampling.sliced(df, index).collect()) == want, index
+    assert [r[0] for r in sampling.sliced(df, "-2").collect()] == [8]
+
+
 def test_lattice_has_the_known_shells(spark):
     n = structure.lattice_cluster(spark, "fcc", 2**0.5, 3, 1.01).count()
     assert n == 13  # an atom and its twelve neighbours at distance 1
