@@ -1,10 +1,13 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-Equal texts are one class. A class's signature is cut into trees of ``depth`` labels;
-classes that share a prefix of a tree's labels stand together in its trie. The prefix is
-the longest that finds a link at the threshold itself with the target recall, so that no
-group of many alike texts decides what other groups lose. Candidates are then verified on
-exact shingle sets, group by group; connected classes form a larger group.
+Equal texts are one class. A class's signature is cut into trees of ``DEPTH`` labels;
+classes that share a prefix of a tree's labels stand together in its trie. Prefixes are
+shortened label by label until a link at the threshold itself is found with the target
+recall; the chance is known beforehand, so one length serves all, and no group of many
+alike texts decides what other groups lose. The nodes of that length are brought together
+by a hash of their prefix, 16 bytes a class and tree: sorting whole signatures would put
+the same classes side by side, but move all labels of all trees. Candidates are then
+verified on exact shingle sets, group by group; connected classes form a larger group.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, only_cache, run_hashes, table
+from .common import WordHashes, discard, only_cache, run_hashes, skewed_join, table
 
 TREES, DEPTH = 16, 12
 #: A trie node with more classes is compared block by block, each pair of blocks a task's work.
@@ -222,23 +225,24 @@ def _components(edges: DataFrame) -> DataFrame:
     stars until the edges stay as they are."""
     spark = edges.sparkSession
     edges, path = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
+    last, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("u", "m").alias("m"), "weight")
+        large = skewed_join(both, low, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large, large_path = table(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        small = skewed_join(large, low, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         new, new_path = table(small, "edges")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
-        discard(spark, path)
+        discard(spark, path, large_path)
         edges, path = new, new_path
         if state == last:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
-        last = state
+        last, n = state, state[0]
 
 
-def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, links: bool = False) -> NearDuplicates:
+def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, links: bool = False, margin: float | None = 4.0) -> NearDuplicates:
     """Links every two different texts of ``df`` (doc_id, text) whose sets of ``n``-word
     runs have a Jaccard similarity of ``threshold`` or more.
 
@@ -247,7 +251,13 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     its connected group. A null text equals an empty one; texts without words link to
     nothing; texts with fewer than ``n`` words are one run; repeated rows are copies; a
     null doc_id sorts first; an empty table gives no row; other columns are not read.
-    Links are counted and chained where their texts meet; only ``links`` lists them.
+    A very long text is signed whole, a stretch of hashes at a time. Links are counted and
+    chained where their texts meet; only ``links`` lists them.
+
+    ``recall`` is the chance that a link of exactly ``threshold`` becomes a candidate.
+    Candidates whose signatures agree ``margin`` standard deviations below the threshold
+    are taken for unlinked (at 4, one link in 30,000 at the threshold itself); None
+    verifies every candidate exactly.
     """
     spark = df.sparkSession
     signed, _ = table(_signed(df, n), "signatures")
@@ -255,13 +265,13 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
     rows = signed.withColumn("id", F.coalesce("doc_id", low))
     classes, _ = table(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "classes")
     signing = classes.filter("sig IS NOT NULL").select("key", "sig")
-    floor = threshold - 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+    floor = 0.0 if margin is None else threshold - margin * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
     depth = _depth(threshold, recall)
-    found, _ = table(_candidates(signing, depth, floor), "candidates")
+    found, found_path = table(_candidates(signing, depth, floor), "candidates")
     members = found.filter("key IS NOT NULL").select(*PLACE)
 
     # Exact verification: the shingle sets of candidates only, each from one row.
-    wanted, _ = table(members.select("key").distinct().join(classes.select("key", "rep"), "key"), "wanted")
+    wanted, wanted_path = table(members.select("key").distinct().join(classes.select("key", "rep"), "key"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     keyed = df.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("doc_id", low).alias("rep"))
 
@@ -272,16 +282,18 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
             yield pd.DataFrame({"key": frame["key"], "sig": [signature(x) for x in s], "s": [x.view(np.int64) for x in s]})
 
     chosen = keyed.join(F.broadcast(wanted) if few else wanted, ["key", "rep"], "left_semi")
-    exact, _ = table(chosen.select("key", "text").mapInPandas(sets, "key binary, sig binary, s array<long>").dropDuplicates(["key"]), "shingles")
-    linked, _ = table(_verified(members, exact, depth, floor, threshold, False), "linked")
+    exact, exact_path = table(chosen.select("key", "text").mapInPandas(sets, "key binary, sig binary, s array<long>").dropDuplicates(["key"]), "shingles")
+    linked, linked_path = table(_verified(members, exact, depth, floor, threshold, False), "linked")
 
     edges = linked.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))
-    grouped = _components(edges).join(classes.select("key", "rep"), "key", "right").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    group = grouped.groupBy("root").agg(F.min("rep").alias("group_id"))
+    grouped, grouped_path = table(_components(edges).join(classes.select("key", "rep", "n_copies"), "key", "right").select("key", "rep", "n_copies", F.coalesce("root", "key").alias("root")), "groups")
+    group = grouped.groupBy("root").agg(F.min("rep").alias("group_id"), F.count("*").alias("weight"))
     degree = linked.groupBy("key").agg(F.sum("n_links").alias("n_links"))
-    facts = grouped.join(group, "root").join(degree, "key", "left").join(classes.select("key", "n_copies"), "key")
+    facts = skewed_join(grouped, group, "root", grouped.count()).join(degree, "key", "left")
     facts, _ = table(facts.select("key", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id"), "facts")
-    documents = rows.select("doc_id", "key").join(facts, "key").select("doc_id", "key", "class_id", "n_copies", "n_links", "group_id")
+    discard(spark, wanted_path, linked_path, grouped_path, *(() if links else (found_path, exact_path)))
+    documents = skewed_join(rows.select("doc_id", "key"), facts.withColumn("weight", F.col("n_copies")), "key", signed.count())
+    documents = documents.select("doc_id", "key", "class_id", "n_copies", "n_links", "group_id")
     if not links:
         return NearDuplicates(documents, None, depth)
     ids = classes.select("key", "rep")
@@ -294,11 +306,12 @@ def one_of_each(df: DataFrame, **how: float) -> DataFrame:
     smallest doc_id (null first) stays, and one row where it is repeated."""
     found = ngram_join(df.select("doc_id", "text"), **how).documents
     low = F.lit(-(1 << 63))
-    ids = found.select("key", "group_id", F.coalesce("doc_id", low).alias("id"))
+    ids, ids_path = table(found.select("key", "group_id", F.coalesce("doc_id", low).alias("id")), "ids")
     # Of rows that share the smallest doc_id in a group, the smallest key stays.
-    stay = ids.filter("id = group_id").groupBy("group_id").agg(F.min("key").alias("stays"))
-    gone, _ = table(ids.join(stay, "group_id").filter("id != group_id OR key != stays").select("id", "key").distinct(), "removed")
+    stay = ids.groupBy("group_id").agg(F.min(F.when(F.col("id") == F.col("group_id"), F.col("key"))).alias("stays"), F.count("*").alias("weight"))
+    gone, _ = table(skewed_join(ids, stay, "group_id", ids.count()).filter("id != group_id OR key != stays").select("id", "key").distinct(), "removed")
     twice, _ = table(ids.filter("id = group_id").groupBy("id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("id", "key"), "repeated")
+    discard(df.sparkSession, ids_path)
     few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
     full = df.withColumn("__id", F.coalesce("doc_id", low)).withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     on = lambda x: (F.col("__id") == x["id"]) & (F.col("__key") == x["key"])
