@@ -71,8 +71,8 @@ def skewed_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataF
     """The inner join of ``big`` (``total`` rows) with ``small``, which has a row per key
     and in ``weight`` how many rows of ``big`` have it. Keys with a thousandth of all rows
     and more, fewer than a thousand by that, are broadcast, so their rows stay where they
-    are; the others are shuffled."""
-    limit = max(1000, total // 1000)
+    are; the others are shuffled. (Below 100,000 rows: keys with more than 100.)"""
+    limit = max(100, total // 1000)
     hot, rest = small.filter(F.col("weight") > limit).drop("weight"), small.filter(F.col("weight") <= limit).drop("weight")
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return big.join(F.broadcast(hot), key).unionByName(cold)

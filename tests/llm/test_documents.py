@@ -152,13 +152,35 @@ def test_rules_learn_to_reject_and_keep_the_clean(spark):
     assert quality_rules(df.limit(0), y).count() == 0
 
 
-def test_network_gradient_equals_differences():
+def small_network():
     rng = np.random.default_rng(0)
     texts = [rng.integers(2, 12, n) for n in (4, 1, 7, 3)]
-    net = TextCNN(dims=3, filters=2, epochs=0, steps=0).fit(texts, np.array([1, 0, 1, 0], np.float32), 12)
-    z = net.logits(texts)
-    one = np.concatenate([net.logits([t]) for t in texts])
-    assert np.allclose(z, one, atol=1e-5)  # no window crosses texts
+    return TextCNN(dims=3, filters=2, epochs=0, steps=0).fit(texts, np.array([1, 0, 1, 0], np.float32), 12), texts
+
+
+def test_network_gradient_equals_differences():
+    net, texts = small_network()
+    rng = np.random.default_rng(5)
+    net.p = {k: rng.normal(0, 0.5, v.shape) for k, v in net.p.items()}  # in double precision
+    net.p["e"][0] = 0
+    idx, starts = net.lay_out(texts)
+    y = np.array([1.0, 0, 1, 0])
+    _, g = net.gradients(idx, starts, y)
+    for name, v in net.p.items():
+        for at in np.ndindex(v.shape):
+            if name == "e" and at[0] == 0:
+                continue  # the pad is held at zero
+            kept, two = v[at], []
+            for step in (1e-6, -1e-6):
+                v[at] = kept + step
+                two.append(net.gradients(idx, starts, y)[0])
+            v[at] = kept
+            assert abs((two[0] - two[1]) / 2e-6 - g[name][at]) < 1e-6, (name, at)
+
+
+def test_no_window_crosses_texts():
+    net, texts = small_network()
+    assert np.allclose(net.logits(texts), np.concatenate([net.logits([t]) for t in texts]), atol=1e-5)
 
 
 def test_toxicity_learns_and_carries_rows(spark, docs):
