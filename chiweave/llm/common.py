@@ -74,6 +74,8 @@ def skewed_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataF
     are; the others are shuffled. (Below 100,000 rows: keys with more than 100.)"""
     limit = max(100, total // 1000)
     hot, rest = small.filter(F.col("weight") > limit).drop("weight"), small.filter(F.col("weight") <= limit).drop("weight")
+    if not hot.limit(1).count():
+        return big.join(rest, key)
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return big.join(F.broadcast(hot), key).unionByName(cold)
 
