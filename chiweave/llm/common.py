@@ -4,6 +4,9 @@ the cluster names in ``spark.checkpoint.dir``, and the word pattern."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -67,6 +70,15 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can: after
+    work in numpy on the driver it would else stay with the process through later stages."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def skewed_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
     """The inner join of ``big`` (``total`` rows) with ``small``, which has a row per key
     and in ``weight`` how many rows of ``big`` have it. Keys with a thousandth of all rows
