@@ -79,6 +79,14 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees what a finished stage left on the driver: Python lets go of its plans, and the
+    JVM's collection finds them, with the broadcasts and shuffle files that Spark's cleaner
+    drops only once they are found (Spark asks for one by itself every 30 minutes)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def skewed_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
     """The inner join of ``big`` (``total`` rows) with ``small``, which has a row per key
     and in ``weight`` how many rows of ``big`` have it. Keys with a thousandth of all rows

@@ -3,12 +3,10 @@ is written and read again before the next one works on all of it."""
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiweave.llm.common import discard_since, mark, table
+from chiweave.llm.common import discard_since, let_go, mark, table
 from chiweave.llm.mixing import mix
 from chiweave.llm.near_duplicates import one_of_each
 from chiweave.llm.packing import pack
@@ -66,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs, path = table(docs, "stage-" + name.replace(" ", "-"))
             discard_since(spark, before, path)
-            gc.collect()  # a finished stage's plans, which Python still holds, go in the driver's JVM too
+            let_go(spark)
     return docs
