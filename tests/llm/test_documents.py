@@ -8,6 +8,7 @@ import pytest
 from helpers import DOCS, awkward, labels, prose
 
 from chiweave.llm import fingerprints as FP
+from chiweave.llm import toxicity as module
 from chiweave.llm.mixing import mix
 from chiweave.llm.near_duplicates import found_share, ngram_join, one_of_each
 from chiweave.llm.quality import keep_good, quality_rules
@@ -207,6 +208,22 @@ def test_toxicity_learns_and_carries_rows(spark, docs):
     assert toxicity(docs.limit(0), labels(spark)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    ids = spark.range(9000).selectExpr("id AS doc_id", "xxhash64(id) AS h").orderBy("h").collect()
+    late = {r["doc_id"] for r in ids[6000:]}  # rows that no bounded choice by this hash reaches
+    rows = [(i, f"{prose(i, 12)} {('vile' if i in late else 'rotten') if i % 2 else 'fine'} {prose(i + 1, 6)}", "en", "s", 1) for i in range(9000)]
+    df, y = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2) for i in range(9000)], "doc_id long, quality int, toxic int")
+    usable = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    for few in (500_000, 0):  # labels broadcast, then shuffled
+        monkeypatch.setattr(module, "BROADCAST_ROWS", few)
+        model = module.train(df, y, learner=2500)
+        assert {k: sum(n for (_, t), n in model.rows.items() if t == k) for k in (0, 1)} == {k: sum(i % 2 == k for i in usable) for k in (0, 1)}
+        assert {module.hashed(w) for w in ("vile", "rotten", "fine")} <= set(model.known.tolist())
+    held = [r for r in toxicity(df, y, learner=2500).collect() if r["held_out"]]
+    for own in (late, set(range(9000)) - late):
+        assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held if r["doc_id"] in own]) > 0.95
+
+
 def shares(sizes, cap=3.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
