@@ -74,9 +74,15 @@ def give_back() -> None:
     """Returns freed memory of this process to the system, where the C library can: after
     work in numpy on the driver it would else stay with the process through later stages."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-    if trim is not None:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system, without a collection: cheap enough for each task
+    to end with, so that a worker that waits for its next stage holds only its caches."""
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if back is not None:
+        back(0)
 
 
 def let_go(spark: SparkSession) -> None:
@@ -105,11 +111,12 @@ _clear: dict[str, object] = {}  # a worker's caches, by owner
 
 def only_cache(owner: str, clear) -> None:
     """Called where a task of ``owner`` begins: empties what other operators keep in
-    this worker process, so that stages of one job do not add up."""
-    for other, empty in list(_clear.items()):
-        if other != owner:
-            empty()
-            del _clear[other]
+    this worker process, so that stages of one job do not add up, and gives it back."""
+    others = [other for other in _clear if other != owner]
+    for other in others:
+        _clear.pop(other)()
+    if others:
+        give_back()
     _clear[owner] = clear
 
 

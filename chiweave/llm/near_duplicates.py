@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, only_cache, run_hashes, skewed_join, table
+from .common import WordHashes, discard, only_cache, run_hashes, skewed_join, table, trim
 
 TREES, DEPTH = 16, 12
 #: A trie node with more classes is compared block by block, each pair of blocks a task's work.
@@ -73,6 +73,7 @@ def _signed(df: DataFrame, n: int) -> DataFrame:
                 keys.append(key)
                 sigs.append(recent[key])
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "key": keys, "sig": sigs})
+        trim()
 
     return df.select("doc_id", "text").mapInPandas(run, "doc_id long, key binary, sig binary")
 
@@ -279,6 +280,7 @@ def ngram_join(df: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: flo
         for frame in frames:
             s = [np.unique(shingles(t, n, _words)) for t in frame["text"]]
             yield pd.DataFrame({"key": frame["key"], "sig": [signature(x) for x in s], "s": [x.view(np.int64) for x in s]})
+        trim()
 
     chosen = keyed.join(F.broadcast(wanted) if few else wanted, ["key", "rep"], "left_semi")
     exact, exact_path = table(chosen.select("key", "text").mapInPandas(sets, "key binary, sig binary, s array<long>").dropDuplicates(["key"]), "shingles")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 from .tokens import blocks, shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, local_rank long"
@@ -86,6 +86,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
                         at, piece, step = at + step, piece + 1, capacity
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "local_rank"])
                 yield out.astype({"doc_id": "Int64"})
+        trim()
 
     return df.select("doc_id", "text").mapInPandas(cut, PIECES)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, only_cache, table
+from .common import discard, give_back, only_cache, table, trim
 
 #: Hash space of the words.
 SPACE = 1 << 24
@@ -264,6 +264,7 @@ def _examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str] | Non
         return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("training", dict().clear)
         codes = _Codes(None)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -271,6 +272,7 @@ def _examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str] | Non
                 found = [_encode(codes, t) for t in piece.column("text").to_pylist()]
                 packed = pa.array([x.astype("<u4").tobytes() for x, _ in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("toxic"), piece.column("fit"), pa.array([k for _, k in found], pa.int32()), packed, pa.array([len(x) for x, _ in found], pa.int64())], ["toxic", "fit", "language", "words", "n"])
+        trim()
 
     some = docs.select("doc_id", "text").filter(crc != 0)
     joined = some.join(F.broadcast(usable) if n <= BROADCAST_ROWS else usable.hint("merge"), "doc_id").select("text", "toxic", "fit")
@@ -335,6 +337,7 @@ def _learnt(rows: DataFrame, learners: int, net: TextCNN, known: np.ndarray, wei
                 x = own.flat()
                 parts = [x[at : at + CHUNK].tobytes() for at in range(0, len(x), CHUNK)]
                 yield pd.DataFrame({"chunk": range(len(parts)), "n": seen, "part": parts})
+            trim()
 
         def average(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["n", "part"])
@@ -439,6 +442,7 @@ def toxicity(df: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
                             scores[at : i + 1] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
                             texts, n, at = [], 0, i + 1
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(scores)], [*keep, "score"])
+        trim()
 
     # The text need not come back where there is nothing else to carry.
     keep = ["doc_id"] if set(columns) == {"doc_id", "text"} else columns

@@ -26,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return toxicity(rows, _labels(spark, sf_dir)).filter("predicted = 0").select("row.*")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # each text travels once
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest or ["doc_id"])).alias("row"))
+    kept = toxicity(rows, _labels(spark, sf_dir)).filter("predicted = 0")
+    return kept.select(*(F.col("row")[c].alias(c) if c in rest else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

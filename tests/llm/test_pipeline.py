@@ -25,6 +25,28 @@ def test_stages_shrink_and_keep_columns(spark, tmp_path):
     assert at.agg({"length": "max"}).collect()[0][0] <= 2048 and at.count() > 0
 
 
+def test_toxicity_stage_sends_each_text_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i), "en", "s", 1, 0.5) for i in range(30)] + [(None, None, None, None, None, None)], f"{DOCS}, score double")
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    sent, real = [], corpus_pipeline.toxicity
+    monkeypatch.setattr(corpus_pipeline, "toxicity", lambda rows, marks: sent.append(rows.schema.simpleString()) or real(rows, marks))
+    got = corpus_pipeline.toxicity_filter(spark, docs, str(tmp_path))
+    assert sent[0].count("text:") == 1
+    assert got.schema.simpleString() == docs.schema.simpleString() and set(got.collect()) <= set(docs.collect())
+    assert corpus_pipeline.toxicity_filter(spark, docs.select("text", "doc_id"), str(tmp_path)).columns == ["text", "doc_id"]
+
+
+def test_a_cleared_cache_is_given_back(monkeypatch):
+    from chiweave.llm import common
+
+    back, emptied = [], []
+    monkeypatch.setattr(common, "_clear", {})
+    monkeypatch.setattr(common, "give_back", lambda: back.append(list(emptied)))
+    for owner in ("a", "a", "b"):
+        common.only_cache(owner, lambda owner=owner: emptied.append(owner))
+    assert back == [["a"]]
+
+
 def test_run_gives_the_last_stage(spark):
     from pathlib import Path
 
